@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
 from marginalia.llm.shared import chunks
-from marginalia.llm.tokenize import PieceCache
+from marginalia.llm.tokenize import PieceCache, as_ids
 
 MARKER = "▁"
 #: Kinds of pieces and of models in the protobuf.
@@ -149,7 +149,7 @@ class Encoder:
         self.unit = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+" if self.model.splits_at_markers else "(?s:.+)")
         self.compared = self.differed = 0
 
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
+    def _encode_units(self, units: list[str]) -> list[bytes]:
         own = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         prefixed = self.model.dummy_prefix and not self.model.suffix and not self.model.remove_extra and not self.model.charsmap
         if prefixed:  # only then a unit can be handed over as a text
@@ -160,7 +160,7 @@ class Encoder:
                 if own[i] != ids:
                     self.differed += 1
                     own[i] = ids
-        return own
+        return list(map(as_ids, own))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return self.cache.encode([self.unit.findall(self.model.normalise(x)) if x else [] for x in texts])

@@ -7,15 +7,21 @@ library, and a text's ids are the pieces' ids in a row. The cache of pieces is b
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from marginalia.llm.words import SLICE, hashes
+
 #: Pieces of text kept per worker.
-CACHE = 300_000
+CACHE = 100_000
+#: Pieces of plain texts kept per worker, in arrays: about 40 bytes each.
+KNOWN = 800_000
 
 #: The characters with Unicode's White_Space property, which the tokenizer's pattern calls \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -26,54 +32,141 @@ _LETTERS_THEN_MARKS = re.compile(r"( ?[A-Za-z]+)([.,;:!?|)\]]+)")
 
 
 class PieceCache:
-    """Encodes texts piece by piece. encode_pieces: ids of each of some pieces, which no merge crosses."""
+    """Encodes texts piece by piece. encode_pieces: ids of each of some pieces, which no merge crosses, as bytes."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[list[int]]], limit: int = CACHE) -> None:
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int = CACHE) -> None:
         self.encode_pieces, self.limit = encode_pieces, limit
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of texts given as pieces, as little-endian unsigned 32-bit integers."""
-        missing = list(set().union(*texts).difference(self.known))
-        extra: dict[str, bytes] = {}
+        found = [list(map(self.known.get, pieces)) for pieces in texts]
+        gaps = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        missing = list({pieces[i] for pieces, at in zip(texts, gaps, strict=True) for i in at})
         if missing:
-            if len(self.known) + len(missing) > self.limit:  # the earliest are the most frequent: keep these
-                for piece in list(self.known)[self.limit // 2 :]:
-                    del self.known[piece]
-                missing = list(set().union(*texts).difference(self.known))
-            found = zip(missing, self.encode_pieces(missing), strict=True)
-            extra = {piece: np.array(ids, "<u4").tobytes() for piece, ids in found}
-            room = max(0, self.limit - len(self.known))
-            if len(extra) <= room:
-                self.known |= extra
-                extra = {}
-        if extra:
-            return [b"".join([self.known.get(p) or extra[p] if p in self.known else extra[p] for p in pieces]) for pieces in texts]
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in texts]
+            extra = dict(zip(missing, self.encode_pieces(missing), strict=True))
+            for pieces, own, at in zip(texts, found, gaps, strict=True):
+                for i in at:
+                    own[i] = extra[pieces[i]]
+            # once full, the earliest stay: they are the most frequent
+            self.known.update(islice(extra.items(), max(0, self.limit - len(self.known))))
+        return [b"".join(own) for own in found]
+
+
+def as_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+#: White space other than single spaces and line ends between words, in UTF-8.
+_ODD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_ODD_AFTER = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+
+
+def is_plain(text: bytes) -> bool:
+    """Whether single spaces and line ends are all the white space, each between words or, a space, at the beginning or, a line end, anywhere."""
+    if len(text) >= SLICE or text.endswith(b" "):
+        return False
+    for odd in _ODD:
+        if odd in text:
+            return False
+    return not (b"\xe2\x80" in text and _ODD_AFTER.search(text))
 
 
 class ByteLevelEncoder:
-    """A byte-level BPE tokenizer file of the tokenizers library, without special tokens."""
+    """A byte-level BPE tokenizer file of the tokenizers library, without special tokens.
+
+    Most texts have only single spaces and line ends between words. Their pieces (a word with the space before it, or a
+    line end) are found and hashed by numpy, and only one of each kind is looked up. A piece is known by two independent
+    hashes of 64 bits, its length and its first bytes.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts: dict[str, list[int]] = {}
+        self.parts = PieceCache(self._encode_parts)
         self.cache = PieceCache(self._encode_pieces)
+        #: The known pieces, by ascending first hash: second hash, and the place of their ids in the table.
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.offsets, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.table = np.zeros(0, "<u4")
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        return [as_ids(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        split = [m.groups() if (m := _LETTERS_THEN_MARKS.fullmatch(p)) else (p,) for p in pieces]
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        missing = list({part for parts in split for part in parts}.difference(self.parts))
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.parts.update(zip(missing, (e.ids for e in encoded), strict=True))
-        return [[i for part in parts for i in self.parts[part]] for parts in split]
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        match = _LETTERS_THEN_MARKS.fullmatch
+        return self.parts.encode([m.groups() if (m := match(p)) else (p,) for p in pieces])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; a null text has none."""
-        return self.cache.encode([_PIECE.findall(x) if x else [] for x in texts])
+        raw = [x.encode() if x else b"" for x in texts]
+        plain = [i for i, x in enumerate(raw) if x and is_plain(x)]
+        out = [b""] * len(texts)
+        for i, ids in zip(plain, self._encode_plain([raw[i] for i in plain]), strict=True):
+            out[i] = ids
+        rest = sorted({i for i, x in enumerate(raw) if x}.difference(plain))
+        for i, ids in zip(rest, self.cache.encode([_PIECE.findall(texts[i]) for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode_plain(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of texts that fit a slice together or alone."""
+        out: list[bytes] = []
+        start = 0
+        while start < len(raw):
+            stop, size = start, 0
+            while stop < len(raw) and (stop == start or size + len(raw[stop]) + 1 <= SLICE):
+                size += len(raw[stop]) + 1
+                stop += 1
+            out += self._encode_slice(raw[start:stop])
+            start = stop
+        return out
+
+    def _encode_slice(self, raw: list[bytes]) -> list[bytes]:
+        joined = b"\n".join(raw)  # a line end between texts is taken out again below
+        data = np.frombuffer(joined, np.uint8)
+        line = data == 10
+        cut = line | (data == 32)
+        cut[1:] |= line[:-1]
+        cut[0] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        first, second = hashes(data, starts, ends)
+        keys, at, which = np.unique(first, return_index=True, return_inverse=True)
+        table, offsets, sizes = self._ids_of(joined, starts[at], ends[at], keys, second[at])
+        if (second != second[at][which]).any():  # two pieces share the first hash, which hardly ever happens
+            return self.cache.encode([_PIECE.findall(x.decode()) for x in raw])
+        counts = sizes[which]
+        # the line ends between texts have no ids
+        between = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw])[:-1] - 1)
+        counts[between] = 0
+        total = np.cumsum(counts, dtype=np.int64)
+        flat = table[np.repeat(offsets[which] - (total - counts), counts) + np.arange(total[-1])]
+        bounds = [0, *total[between].tolist(), int(total[-1])]
+        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids_of(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and where in it the ids of the different pieces stand; keys ascend."""
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        same = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        hit = same & (self.checks[near] == checks) if len(self.keys) else same
+        offsets, sizes = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
+        offsets[hit], sizes[hit] = self.offsets[near[hit]], self.sizes[near[hit]]
+        new = np.flatnonzero(~hit)
+        if not len(new):
+            return self.table, offsets, sizes
+        encoded = self._encode_pieces([joined[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        sizes[new] = np.fromiter(map(len, encoded), np.int32, len(encoded)) >> 2
+        offsets[new] = len(self.table) + np.cumsum(sizes[new]) - sizes[new]
+        table = np.concatenate((self.table, np.frombuffer(b"".join(encoded), "<u4")))
+        # once full, the earliest stay: they are the most frequent
+        keep = new[~same[new]][: max(0, KNOWN - len(self.keys))]
+        if len(keep):
+            self.offsets, self.sizes = np.insert(self.offsets, at[keep], offsets[keep]), np.insert(self.sizes, at[keep], sizes[keep])
+            self.keys, self.checks = np.insert(self.keys, at[keep], keys[keep]), np.insert(self.checks, at[keep], checks[keep])
+            self.table = table
+        return table, offsets, sizes
 
 
 @cache
