@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Beginnings of licence URLs, and kinds.
@@ -108,10 +108,25 @@ def blob_swhid(content: Column) -> Column:
 
 
 def tree_swhid(entries: Column) -> Column:
-    """The identifier of a flat directory. entries: array of struct(name, swhid of the file)."""
-    ordered = F.array_sort(entries, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    """The identifier of a directory. entries: array of struct(name, swhid, folder); folders sort as if their names ended with a slash."""
+    key = lambda e: F.concat(e["name"], F.when(e["folder"], "/").otherwise("")).cast("binary")
+    ordered = F.array_sort(entries, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
     nothing = F.lit("").cast("binary")
-    row = lambda e: F.concat(F.concat(F.lit("100644 "), e["name"]).cast("binary"), F.unhex(F.lit("00")), F.unhex(F.substring(e["swhid"], 11, 40)))
+    mode = lambda e: F.when(e["folder"], "40000 ").otherwise("100644 ")
+    row = lambda e: F.concat(F.concat(mode(e), e["name"]).cast("binary"), F.unhex(F.lit("00")), F.unhex(F.substring(e["swhid"], 11, 40)))
     body = F.aggregate(ordered, nothing, lambda acc, e: F.concat(acc, row(e)))
     head = F.concat(F.lit("tree "), F.length(body).cast("string")).cast("binary")
     return F.concat(F.lit("swh:1:dir:"), F.sha1(F.concat(head, F.unhex(F.lit("00")), body)))
+
+
+def directory_swhids(files: DataFrame) -> DataFrame:
+    """(root, swhid) of the directories that hold files(root, path, content), path with / between names. Nested directories are named from the inside out, one aggregation a level."""
+    nodes = files.select("root", F.split("path", "/").alias("names"), blob_swhid(F.col("content")).alias("swhid"), F.lit(False).alias("folder"))
+    depth = nodes.agg(F.max(F.size("names"))).first()[0] or 0
+    for level in range(depth, 0, -1):
+        inner = nodes.where(F.size("names") == level)
+        entry = F.struct(F.element_at("names", -1).alias("name"), "swhid", "folder")
+        made = inner.groupBy("root", F.slice("names", 1, level - 1).alias("names")).agg(F.collect_list(entry).alias("entries"))
+        folders = made.select("root", "names", tree_swhid(F.col("entries")).alias("swhid"), F.lit(True).alias("folder"))
+        nodes = nodes.where(F.size("names") < level).unionAll(folders)
+    return nodes.select("root", "swhid")

@@ -26,6 +26,23 @@ def unclassified(index: DataFrame, *lists: DataFrame) -> DataFrame:
     return index
 
 
+def citation_cases(nodes: DataFrame) -> DataFrame:
+    """(article_id, cites, ecites, bad_fields) of scanned articles: citations of references, structured ones, and fields of these that a list of articles can't have. Read from the paths, so one aggregation does."""
+    tag, parent, grand = (F.get("path", F.size("path") - i) for i in (1, 2, 3))
+    structured = (tag == "element-citation") & ((parent == "ref") | (parent == "citation-alternatives") & (grand == "ref"))
+    cite = tag.isin("element-citation", "mixed-citation", "citation-alternatives") & (parent == "ref")
+    bad = tag.isin(*BAD_FIELDS) & (parent == "element-citation")
+    counts = {"cites": cite, "ecites": structured, "bad_fields": bad}
+    return nodes.groupBy("article_id").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()))
+
+
+def article_facts(nodes: DataFrame) -> DataFrame:
+    """(article_id, article_type, journal_id) of scanned articles: the root's attribute, empty without, and the first journal-id."""
+    journal = (F.size("path") == 4) & (F.array_join(F.slice("path", 2, 3), "/") == "front/journal-meta/journal-id")
+    facts = nodes.where((F.col("pre") == 0) | journal).groupBy("article_id")
+    return facts.agg(F.coalesce(F.max(F.when(F.col("pre") == 0, F.col("attrs")["article-type"])), F.lit("")).alias("article_type"), F.min_by(F.when(journal, F.col("text")), F.when(journal, F.col("pre"))).alias("journal_id"))
+
+
 def classify_journals(cases: DataFrame) -> DataFrame:
     """(journal_id, cites, ecites, bad_fields, verdict) of cases(journal_id, cites, ecites, bad_fields), one row an article.
 

@@ -140,3 +140,8 @@ def page(rows: DataFrame) -> DataFrame:
 def write_files(rows: DataFrame, path: str, text_col: str) -> None:
     """Writes one row's text per line of JSON, with its article_id: the sink for XML, HTML and web abstracts of a corpus."""
     rows.select("article_id", text_col).write.json(path)
+
+
+def write_articles(rows: DataFrame, path: str, xml_col: str = "xml") -> None:
+    """Writes one folder per article, `article_id=...`, with its XML as it is."""
+    rows.select("article_id", F.col(xml_col).alias("value")).write.partitionBy("article_id").option("lineSep", "\n").text(path)

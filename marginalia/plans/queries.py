@@ -415,6 +415,26 @@ def journal_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.classify_journals(cases)
 
 
+@query("""
+SELECT o_orderkey AS article_id, 1::BIGINT AS cites, 1::BIGINT AS ecites, 0::BIGINT AS bad_fields FROM orders
+""")
+def citation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What journals are classified by, from scanned articles."""
+    found = curation.citation_cases(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return found.select(_article_id(), "cites", "ecites", "bad_fields")
+
+
+@query("SELECT event_id AS article_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS article_type, CASE WHEN event_id % 3 <> 0 THEN 'J' || user_id END AS journal_id FROM events")
+def article_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and journals of scanned articles."""
+    key = F.col("event_id")
+    front = corpora.element("front", F.when(key % 3 != 0, corpora.element("journal-meta", corpora.element("journal-id", F.concat(F.lit("J"), F.col("user_id").cast("string"))))).otherwise(""), corpora.element("article-meta"))
+    typed = corpora.element("article", front, article_type=F.col("event_type"))
+    content = F.when(key % 4 == 0, corpora.element("article", front)).otherwise(typed)
+    found = curation.article_facts(nodes.scan_xml(corpora.raw(table(spark, sf_dir, "events"), key, content)))
+    return found.select(_article_id(), "article_type", "journal_id")
+
+
 @query("""
 SELECT o_orderkey::INTEGER AS pmcid, 'Journal ' || o_orderstatus AS journal_id, o_orderdate::DATE AS updated, CASE WHEN o_orderkey % 3 = 0 THEN 'CC BY' ELSE 'CC BY-NC' END AS license,
   CASE WHEN o_orderkey % 3 = 0 THEN 'oa_comm' ELSE 'oa_noncomm' END || '/xml/all/PMC' || o_orderkey || '.xml' AS path

@@ -55,9 +55,29 @@ def test_edition(spark, text, number):
     assert spark.createDataFrame([(text,)], "t string").select(values.edition(F.col("t"))).first()[0] == number
 
 
+def git_tree(entries):
+    import hashlib
+
+    def sha(kind, data):
+        return hashlib.sha1(f"{kind} {len(data)}\0".encode() + data).digest()
+
+    body = b""
+    for name, value in sorted(entries.items(), key=lambda e: e[0] + "/" * isinstance(e[1], dict)):
+        inner = git_tree(value) if isinstance(value, dict) else sha("blob", value)
+        body += f"{'40000' if isinstance(value, dict) else '100644'} {name}\0".encode() + inner
+    return sha("tree", body)
+
+
+def test_directory_identifiers(spark):
+    tree = {"a": b"1", "b": {"c": b"2", "d": {"e": b""}}, "b.x": b"3", "b0": b"4"}
+    flat = [("r", p, bytearray(c)) for p, c in (("a", b"1"), ("b/c", b"2"), ("b/d/e", b""), ("b.x", b"3"), ("b0", b"4"))]
+    rows = values.directory_swhids(spark.createDataFrame([*flat, ("s", "x", bytearray(b"y"))], "root string, path string, content binary")).collect()
+    assert {r.root: r.swhid for r in rows} == {"r": "swh:1:dir:" + git_tree(tree).hex(), "s": "swh:1:dir:" + git_tree({"x": b"y"}).hex()}
+
+
 def test_directory_identifier(spark):
     row = spark.createDataFrame([("article.xml", bytearray(b"hello"))], "name string, c binary")
-    found = row.select(values.tree_swhid(F.array(F.struct("name", values.blob_swhid(F.col("c")).alias("swhid")))).alias("t"), values.blob_swhid(F.col("c")).alias("b")).first()
+    found = row.select(values.tree_swhid(F.array(F.struct("name", values.blob_swhid(F.col("c")).alias("swhid"), F.lit(False).alias("folder")))).alias("t"), values.blob_swhid(F.col("c")).alias("b")).first()
     assert found.b == "swh:1:cnt:b6fc4c620b67d95f953a5c1c1230aaab5db5a1b0"
     assert found.t.startswith("swh:1:dir:") and len(found.t) == 50
 
