@@ -145,3 +145,39 @@ def clean(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_ch
             yield kept
 
     return docs.mapInArrow(run, schema)
+
+
+def sql() -> str:
+    """The counts and the verdict over `documents` for DuckDB."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = " + ".join(f"CASE WHEN contains(lowered, '{p}') THEN {len(p)} ELSE 0 END" for p in BOILERPLATE)
+    return rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 2], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split WHERE len(words) >= 3)
+), often AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM often) GROUP BY doc_id
+), cut AS (
+  SELECT doc_id, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM (SELECT doc_id, unnest(lines) AS line FROM split)
+), counted AS (
+  SELECT doc_id, len(own) AS n, len(list_filter(own, lambda x: list_contains({listed(sorted(SEPARATORS))}, x))) AS between_, array_to_string(own, ' ') AS line, lower(array_to_string(own, ' ')) AS lowered FROM cut
+), measured AS (
+  SELECT *, length(line) - n + 1 AS characters, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '\p{{L}}')) AS letters,
+    len(regexp_extract_all(line, '!')) AS marks, len(regexp_extract_all(line, '[A-ZÀ-ÖØ-Þ]')) AS upper_, {phrases} AS known FROM counted
+), judged AS (
+  SELECT doc_id, characters, CASE WHEN between_ >= 2 AND between_ * 5 >= n THEN true WHEN symbols * 10 > characters THEN true WHEN n >= 4 AND letters >= 12 AND marks * 4 >= n AND upper_ * 10 > letters * 7 THEN true
+    WHEN n <= 12 AND known * 2 > characters THEN true ELSE letters = 0 OR n >= 8 AND NOT regexp_matches(line, '[.,;:!?…)\]"''’”»\d]') END AS bad FROM measured
+), lost AS (
+  SELECT doc_id, count(*) FILTER (bad) AS n_bad, coalesce(sum(characters) FILTER (bad), 0) AS chars FROM judged GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(n_bad, 0)::BIGINT AS n_bad_lines, coalesce(chars, 0)::BIGINT AS lost_chars
+  FROM split LEFT JOIN repeated USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= {MAX_LOST}::DOUBLE * word_chars AS kept FROM base
+"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licences": licences.sql(), "op4_topk": topk.SQL, "op10_urls": urls.SQL}
+    return {"op2_substrings": substrings.SQL, "op5_quality": quality.sql(), "op3_licences": licences.sql(), "op4_topk": topk.SQL, "op10_urls": urls.SQL}

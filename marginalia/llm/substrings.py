@@ -415,3 +415,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, docs.schema)
+
+
+#: The digest over `documents` for DuckDB.
+SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13)
+), firsts AS (
+  SELECT w, min(doc_id) AS first FROM windows GROUP BY w
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS k FROM windows JOIN firsts USING (w) WHERE first < doc_id
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM split
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)
+"""
