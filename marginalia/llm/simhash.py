@@ -201,8 +201,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the smallest id stays, once. Rows without an id stay unless a row with an id is in their group; equal ones of them stay once."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.withColumn("_digest", F.xxhash64(text_col)).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    """The rows of docs without near-duplicates: of each group the row with the smallest id stays, once. Rows without an id can't be named by their group and stay as they are."""
+    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
+    # the join and the removal of repeated rows share one partitioning
+    kept = docs.join(stay, id_col, "left_semi").withColumn("_digest", F.xxhash64(text_col)).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    return kept.select(docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
