@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,7 @@ from marginalia.llm.words import first_minimum, rolling, word_hashes
 
 WINDOW, GRAM = 13, 6
 #: Bytes of text that make one piece of the input.
-PIECE = 16 << 20
-#: Bytes of a stored side up to which it is sent to all executors instead of shuffling texts.
-SMALL_BYTES = 64 << 20
+PIECE = 8 << 20
 
 _BLOCK = "bucket int, kind int, keys binary, more binary, docs binary, places binary"
 _NAMES = ["bucket", "kind", "keys", "more", "docs", "places"]
@@ -68,7 +67,8 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    return _bucket(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), n)
+    """Buckets of documents: fewer than those of hashes, so that not every two of them share a row."""
+    return _bucket(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), max(min(n, 64), n // 8))
 
 
 class Blocks:
@@ -192,7 +192,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4, n_buckets: int | None = None) -> None:
         self.spark, self.path, self.fanout = spark, path or new_path(spark, "index"), fanout
-        self.n_buckets = n_buckets or 2 * partitions(spark)
+        self.n_buckets = n_buckets or partitions(spark)
         self.runs: tuple[list[str], list[str]] = ([], [])
         self._made = 0
 
@@ -241,10 +241,24 @@ class FingerprintIndex:
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Joins (doc_id, text) with stored (_doc, _places); the stored side is sent to all executors if it is small."""
-    size = places.agg(F.sum(F.length("_places") + 16)).first()[0] or 0
-    side = F.broadcast(places) if size <= SMALL_BYTES else places
-    return texts.join(side, texts["doc_id"] == side["_doc"], how)
+    """Joins (doc_id, text) with (_doc, _places). Texts are shuffled compressed."""
+    zipped = texts.mapInArrow(_zip, "doc_id long, zipped binary")
+    return zipped.join(places, zipped["doc_id"] == places["_doc"], how).withColumnRenamed("zipped", "text")
+
+
+#: What a compressed text begins with; no UTF-8 text does.
+_ZIPPED = b"\xff"
+
+
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False)
+    for batch in chunks(batches, "text"):
+        zipped = [None if x is None else _ZIPPED + press.compress(x) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(zipped, pa.binary())], ["doc_id", "zipped"])
+
+
+def _unzip(text: bytes | None) -> bytes | None:
+    return zstandard.decompress(text[1:]) if text and text[:1] == _ZIPPED else text
 
 
 def _anchor_blocks(n_buckets: int) -> Callable:
@@ -287,7 +301,7 @@ def _window_blocks(n_buckets: int) -> Callable:
         for batch in chunks(batches, "text", PIECE):
             digests, owners, places = [], [], []
             for doc, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("_places"), strict=True):
-                raw = text.as_py()
+                raw = _unzip(text.as_py())
                 keys, _ = anchors(raw)
                 at = np.flatnonzero(np.isin(keys.astype(np.uint32), np.frombuffer(asked.as_py(), np.uint32)))
                 if len(at):
@@ -369,7 +383,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in chunks(batches, "text"):
             n_words, n_removed, kept = [], [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
-                words = (text or b"").split()
+                words = (_unzip(text) or b"").split()
                 n_words.append(len(words))
                 if places:
                     gone = covered(places, len(words))
@@ -390,9 +404,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs, all columns, without repeated words: a text that loses some has its other words joined by one space; rows that lose all are gone. Texts that lose nothing stay as they are."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     found = repeats(texts, n_batches)
-    size = found.agg(F.sum(F.length("_places") + 16)).first()[0] or 0
-    side = F.broadcast(found) if size <= SMALL_BYTES else found
-    joined = docs.join(side, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
