@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks
+from marginalia.llm.shared import chunks, materialise
 
 #: Labelled documents to fit on, about.
-MAX_TRAINING = 20_000
+MAX_TRAINING = 10_000
 #: Words of all languages together in a model; as many n-grams.
-MAX_ENTRIES = 200_000
+MAX_ENTRIES = 60_000
 #: The longest n-gram.
 N_GRAM = 4
 #: Words after which more evidence doesn't raise the score.
@@ -34,7 +34,7 @@ FULL_EVIDENCE = 20
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def words_of(text: str | None) -> Counter:
@@ -50,22 +50,23 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies: a row of `words` or of `ngrams` for each entry, a column for each language."""
+    """Log frequencies: `words` and `ngrams` name rows of `table`, which has a column for each language."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    ngrams: dict[str, np.ndarray]
+    words: dict[str, int]
+    ngrams: dict[str, int]
+    table: np.ndarray
     _index: dict[str, int] = field(default_factory=dict)
     _rows: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         """Log frequencies of a word, zeros if nothing of it is known."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.table[known]
         for n in range(N_GRAM, 0, -1):
-            found = [self.ngrams[g] for g in grams(word, n) if g in self.ngrams]
+            found = [at for g in grams(word, n) if (at := self.ngrams.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.table[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -112,7 +113,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 for word, k in words_of(text).items():
                     tally[lang, word] += k
-            if len(tally) > 100_000:
+            if len(tally) > 20_000:
                 yield out(tally)
                 tally.clear()
         yield out(tally)
@@ -126,22 +127,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     n = usable.count()
     if n > max_training:
         usable = usable.where(F.pmod(F.xxhash64("id", "lang"), F.lit(n)) < max_training)
-    counted = _counts(usable.select("text", "lang"))
+    counted = materialise(_counts(usable.select("text", "lang")), "grams")
     totals = {(r.lang, r.kind): r.n for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for lang, kind in totals})
     each = max(1, max_entries // max(1, len(languages)))
     rank = F.row_number().over(Window.partitionBy("lang", F.col("kind") == 0).orderBy(F.desc("n"), "kind", "gram"))
     kept = counted.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "kind", "gram", "n")
     column = {lang: i for i, lang in enumerate(languages)}
-    tables: list[dict[str, np.ndarray]] = [{}, {}]
+    names: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    places, counts = [], []
     for r in kept.toLocalIterator():
-        row = tables[r.kind > 0].setdefault(r.gram if r.kind != 1 else r.gram, np.zeros(len(languages)))
-        row[column[r.lang]] = r.n
-    for kind, table in enumerate(tables):
-        for gram, row in table.items():
-            sums = np.array([totals.get((lang, 0 if not kind else len(gram)), 0) for lang in languages], float)
-            table[gram] = np.log((row + 0.5) / (sums + 0.5 * max(1, len(table))))
-    return Model(languages, *tables)
+        own = names[r.kind > 0]
+        places.append((own.setdefault(r.gram, len(own)), column[r.lang], r.kind > 0))
+        counts.append(r.n)
+    words, ngrams = names
+    table = np.zeros((len(words) + len(ngrams), len(languages)))
+    for (row, at, is_gram), n in zip(places, counts, strict=True):
+        table[row + len(words) * is_gram, at] = n
+    ngrams = {g: row + len(words) for g, row in ngrams.items()}
+    for kind in range(N_GRAM + 1):
+        rows = list(words.values()) if not kind else [row for g, row in ngrams.items() if len(g) == kind]
+        sums = np.array([totals.get((lang, kind), 0) for lang in languages], float)
+        table[rows] = np.log((table[rows] + 0.5) / (sums + 0.5 * max(1, len(rows))))
+    return Model(languages, words, ngrams, table)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,8 +95,12 @@ def chunks(batches: Iterator[pa.RecordBatch], size: str, limit: int = CHUNK_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Whether df, best a stored table, has at most max_rows rows: the check before a broadcast."""
-    return df.count() <= max_rows
+def trim() -> None:
+    """Gives a worker's freed memory back to the system: workers live on and are used by other operators."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
