@@ -49,6 +49,19 @@ def kept(spark, texts):
     return sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts), "").collect())
 
 
+def test_similar_pairs_are_found(spark):
+    """Copies with one to six edits of 200 words, on both sides of a similarity of 0.8."""
+    rng = random.Random(3)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for i in range(120):
+        base = prose(rng, rng.randint(100, 300))
+        texts += [" ".join(base), " ".join(edited(rng, base, 1 + i % 6))]
+    expected = plain_groups(texts)
+    rows = jaccard.groups(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
+    assert kept(spark, texts) == sorted(set(expected))
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_crowded_keys(spark, block):
     """Many different texts with one long passage in common, some of which are near copies of each other."""
