@@ -12,11 +12,6 @@ if they share such a word, and a word can have no more than 65 fingerprints arou
 group is large.
 
 Texts with equal fingerprints are one class throughout; only different fingerprints are compared.
-
-With `tables` above 1, each text has further fingerprints of the same shingles under other hashes. All of them give keys,
-and texts that share any are linked if at most MAX_SHARE of all their bits differ, which is where the similarity of their
-shingles is about 0.8. These links come on top of those above; a key that is crowded compares its members with several
-leaders instead of with each other.
 """
 
 from __future__ import annotations
@@ -32,16 +27,11 @@ from pyspark.sql import functions as F
 from marginalia.llm.components import connected_components
 from marginalia.llm.golay import near_codewords
 from marginalia.llm.shared import as_bytes, chunks, materialise
-from marginalia.llm.words import mix
 
 #: Keys with more different fingerprints than this are solved by the words around them.
 MAX_BUCKET = 32
 #: The operator's distance; the segments above fit no other.
 MAX_BITS = 2
-#: Share of differing bits that a similarity (Jaccard) of 0.8 has: the cosine is 0.889, the angle 0.151 of a half turn.
-MAX_SHARE = 0.151
-#: Members that each member of a crowded key is compared with.
-LEADERS = 4
 #: Shingles hashed at once in one text.
 BLOCK = 1 << 16
 
@@ -74,14 +64,9 @@ class BitVotes:
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """SimHash of a UTF-8 text: A-Z lower-cased, split at ASCII white space, shingles of words with repeats. A text with fewer words is one shingle; without words it is 0."""
-    return table_of_fingerprints(text, shingle, seed, 1)[0]
-
-
-def table_of_fingerprints(text: bytes | None, shingle: int, seed: int, tables: int) -> list[int]:
-    """The fingerprint and, from the second on, those of the same shingles with their hashes mixed anew."""
     words = (text or b"").lower().split()
     if not words:
-        return [0] * tables
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -89,26 +74,23 @@ def table_of_fingerprints(text: bytes | None, shingle: int, seed: int, tables: i
         starts, ends = np.array([0]), np.array([len(joined)])
         shingle = 1
     n = len(starts) - shingle + 1
-    votes, digest = [BitVotes() for _ in range(tables)], xxhash.xxh64_intdigest
+    votes, digest = BitVotes(), xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         stop = min(n, at + BLOCK)
         pairs = zip(starts[at:stop].tolist(), ends[at + shingle - 1 : stop + shingle - 1].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, stop - at)
-        for i, own in enumerate(votes):
-            own.add(mix(hashes + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) if i else hashes)
-    return [v.fingerprint() for v in votes]
+        votes.add(np.fromiter((digest(joined[a:b], seed) for a, b in pairs), np.uint64, stop - at))
+    return votes.fingerprint()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, tables: int = 1) -> DataFrame:
-    """(doc_id, fp, more): fp is the fingerprint as a signed 64-bit integer, more the further ones; one row per row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer; one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            found = np.array([table_of_fingerprints(x, shingle, seed, tables) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            more = pa.array(found[:, 1:].tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), more], ["doc_id", "fp", "more"])
+            found = np.array([fingerprint(x, shingle, seed) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, more array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,44 +137,17 @@ def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return verified.unionAll(starred)
 
 
-def similar(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(a, b) for fingerprints of classes(fp, more) of which at most MAX_SHARE of all bits differ, among those that share a key in any table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.asarray(batch.column("fp"))
-            more = np.array(batch.column("more").to_pylist(), np.int64).reshape(len(fps), -1)
-            for i in range(more.shape[1] + 1):
-                keys, owners = golay_keys((more[:, i - 1].copy() if i else fps).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys | i << 42), pa.array(fps[owners])], ["key", "fp"])
-
-    keyed = classes.select("fp", "more").mapInArrow(run, "key long, fp long")
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    shared = materialise(keyed.join(sizes, "key").join(classes.select("fp", F.concat(F.array("fp"), "more").alias("bits")), "fp"), "buckets")
-    near = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d) <= {MAX_SHARE} * 64 * size({x})"
-    buckets = shared.where(F.col("count") <= max_bucket).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fp", "bits"))).alias("all"))
-    pairs = F.expr(f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, size(all)), y -> {near('x.bits', 'y.bits')}), y -> struct(x.fp AS a, y.fp AS b))))")
-    verified = buckets.select(F.explode(pairs).alias("pair")).select("pair.a", "pair.b")
-    crowded = shared.where(F.col("count") > max_bucket)
-    leaders = crowded.groupBy("key").agg(F.array(*(F.min_by(F.struct("fp", "bits"), F.xxhash64("fp", F.lit(i))) for i in range(LEADERS))).alias("leaders"))
-    # a join with one row per key, and with only the near ones of its leaders in the result
-    led = crowded.join(leaders, "key").select("fp", F.explode(F.expr(f"filter(leaders, y -> y.fp <> fp AND {near('bits', 'y.bits')})")).alias("leader"))
-    return verified.unionAll(led.select(F.col("fp").alias("a"), F.col("leader.fp").alias("b")))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bucket: int = MAX_BUCKET, tables: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Near-duplicate groups of texts.
 
     Returns (doc_id, fp, fingerprint, component_id), one row per row of docs: the fingerprint as 16 hex digits, and the
     smallest id reachable over links of at most two bits, its own included. A null or blank text has fingerprint 0 and
     is linked like any other. A row with a null id takes part, but its id names no group: a group of such rows alone has
     a null component_id. Repeated rows are rows of the result. Other columns are ignored; an empty table gives none.
-    tables: fingerprints per text; those after the first add links of similar texts.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col, shingle, seed, tables), "fingerprints")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("more").alias("more")), "classes")
-    found = links(classes, max_bucket)
-    labels = connected_components(found.unionAll(similar(classes, max_bucket)) if tables > 1 else found)
+    fps = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    labels = connected_components(links(classes, max_bucket))
     rooted = labels.join(classes.withColumnRenamed("fp", "node"), "node")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = labels.join(lows, "root").select(F.col("node").alias("fp"), "component_id")

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from marginalia.llm import jaccard
+from marginalia.llm import jaccard, simhash
 
 
 def plain_sets(texts):
@@ -76,6 +76,22 @@ def test_crowded_keys(spark, block):
     assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
 
 
+def test_equal_fingerprints_of_different_texts(spark):
+    """Texts with one fingerprint of 64 bits, of which only the one that isn't first has a near copy."""
+    rng = random.Random(1)
+    base = prose(rng, 400)
+    print_of = lambda words: simhash.fingerprint(" ".join(words).encode(), 5)
+    near = [base]
+    while len(near) < 6:
+        if print_of(other := edited(rng, near[-1], 1)) == print_of(base):
+            near.append(other)
+    texts = [" ".join(w) for w in [*near, edited(rng, near[-1], 8)]]
+    expected = plain_groups(texts)
+    rows = jaccard.groups(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
+    assert kept(spark, texts) == sorted(set(expected))
+
+
 def test_odd_tables(spark):
     assert jaccard.groups(frame(spark, []).limit(0)).count() == 0
     docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (2, "A b"), (2, "A b")], "doc_id long, text string")
