@@ -4,9 +4,9 @@ A word that the model knows is scored by its log frequency in each language. Any
 character n-grams of it that the model knows: if none of length N_GRAM is known, those one shorter are tried, and so on;
 a word without any known character is no evidence.
 
-The model is fitted on about MAX_TRAINING labelled documents, chosen by a hash of their ids, and holds at most MAX_ENTRIES
-words and as many n-grams; both bounds are parameters, so the model's size doesn't grow with the data and can be sent to
-every worker.
+The model is fitted on about MAX_TRAINING labelled documents: all of the rarer languages and of each other one about as many,
+chosen by a hash, so every language is learnt at any size. It holds at most MAX_ENTRIES words and as many n-grams; both bounds
+are parameters, so the model's size doesn't grow with the data and can be sent to every worker.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ FULL_EVIDENCE = 20
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 _CACHE = 100_000
 
 
@@ -121,12 +122,26 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, schema).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
 
 
+def share(sizes: list[int], limit: int) -> int:
+    """The largest number of rows, 1 at least, such that so many of each size, or all of it, are at most limit together."""
+    left, count = limit, len(sizes)
+    for n in sorted(sizes):
+        if n * count > left:
+            return max(1, left // count)
+        left, count = left - n, count - 1
+    return max(sizes, default=1)
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_training: int = MAX_TRAINING, max_entries: int = MAX_ENTRIES) -> Model:
-    """Fits a model on rows with a text and a language, on about max_training of them if there are more. Of the words, and of the n-grams, the most frequent of each language are kept, max_entries in all."""
-    usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    n = usable.count()
-    if n > max_training:
-        usable = usable.where(F.pmod(F.xxhash64("id", "lang"), F.lit(n)) < max_training)
+    """Fits a model on rows with a text and a language, on about max_training of them if there are more, at least one of each language. Of the words, and of the n-grams, the most frequent of each language are kept, max_entries in all."""
+    usable = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    usable = usable.where(F.col("text").rlike(_LETTER)).withColumn("place", F.xxhash64("id", "lang", "text"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
+    if sum(r.n for r in sizes) > max_training:
+        each = share([r.n for r in sizes], max_training)
+        chosen = usable.sparkSession.createDataFrame([(r.lang, r.n, r.first) for r in sizes], "lang string, n long, first long")
+        # the first of each language takes part in any case
+        usable = usable.join(F.broadcast(chosen), "lang").where((F.pmod(F.col("place"), F.col("n")) < each) | (F.col("place") == F.col("first")))
     counted = materialise(_counts(usable.select("text", "lang")), "grams")
     totals = {(r.lang, r.kind): r.n for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for lang, kind in totals})

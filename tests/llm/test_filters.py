@@ -111,6 +111,15 @@ def test_training_is_bounded(spark):
     assert len(model.words) == 1 and len(model.ngrams) == 1
 
 
+def test_rare_languages_are_learnt(spark):
+    """One row in a thousand is in another language, far fewer than the bound takes of all rows."""
+    rare = F.col("id") % 1000 == 7
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(rare, "zzq vvx").otherwise("a word").alias("text"), F.when(rare, "rr").when(F.col("id") == 5, "one").otherwise("aa").alias("lang"))
+    model = language.fit(docs, max_training=100)
+    assert model.languages == ["aa", "one", "rr"] and model.predict("zzq")[0] == "rr"
+    assert [language.share(x, 10) for x in ([3, 100], [1, 2, 100], [4], [100] * 20)] == [7, 7, 4, 1]
+
+
 def test_held_out(spark):
     from zlib import crc32
 
