@@ -12,21 +12,24 @@ are parameters, so the model's size doesn't grow with the data and can be sent t
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.shared import chunks, materialise
 
 #: Labelled documents to fit on, about.
-MAX_TRAINING = 10_000
+MAX_TRAINING = 20_000
 #: Words of all languages together in a model; as many n-grams.
-MAX_ENTRIES = 60_000
+MAX_ENTRIES = 200_000
 #: The longest n-gram.
 N_GRAM = 4
 #: Words after which more evidence doesn't raise the score.
@@ -49,13 +52,29 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Names:
+    """Names and their rows, in 12 bytes each: sorted hashes of 64 bits."""
+
+    def __init__(self, rows: dict[str, int]) -> None:
+        pairs = sorted((xxhash.xxh3_64_intdigest(name), row) for name, row in rows.items())
+        self.hashes, self.rows = array("Q", (h for h, _ in pairs)), array("i", (row for _, row in pairs))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def get(self, name: str) -> int | None:
+        own = xxhash.xxh3_64_intdigest(name)
+        at = bisect_left(self.hashes, own)
+        return self.rows[at] if at < len(self.hashes) and self.hashes[at] == own else None
+
+
 @dataclass
 class Model:
     """Log frequencies: `words` and `ngrams` name rows of `table`, which has a column for each language."""
 
     languages: list[str]
-    words: dict[str, int]
-    ngrams: dict[str, int]
+    words: Names | dict[str, int]
+    ngrams: Names | dict[str, int]
     table: np.ndarray
     _index: dict[str, int] = field(default_factory=dict)
     _rows: np.ndarray | None = None
@@ -156,7 +175,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         places.append((own.setdefault(r.gram, len(own)), column[r.lang], r.kind > 0))
         counts.append(r.n)
     words, ngrams = names
-    table = np.zeros((len(words) + len(ngrams), len(languages)))
+    table = np.zeros((len(words) + len(ngrams), len(languages)), np.float32)
     for (row, at, is_gram), n in zip(places, counts, strict=True):
         table[row + len(words) * is_gram, at] = n
     ngrams = {g: row + len(words) for g, row in ngrams.items()}
@@ -164,7 +183,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         rows = list(words.values()) if not kind else [row for g, row in ngrams.items() if len(g) == kind]
         sums = np.array([totals.get((lang, kind), 0) for lang in languages], float)
         table[rows] = np.log((table[rows] + 0.5) / (sums + 0.5 * max(1, len(rows))))
-    return Model(languages, words, ngrams, table)
+    return Model(languages, Names(words), Names(ngrams), table)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

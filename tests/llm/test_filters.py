@@ -120,6 +120,18 @@ def test_rare_languages_are_learnt(spark):
     assert [language.share(x, 10) for x in ([3, 100], [1, 2, 100], [4], [100] * 20)] == [7, 7, 4, 1]
 
 
+def test_model_is_compact():
+    """A model of the full size, sent to a worker, takes 12 bytes a name; names are found as in a dict."""
+    import pickle
+
+    rows = {f"name{i}é": i for i in range(language.MAX_ENTRIES)}
+    names = pickle.loads(pickle.dumps(language.Names(rows)))
+    assert language.MAX_ENTRIES == 200_000 and language.MAX_TRAINING == 20_000
+    assert len(names) == len(rows) and all(names.get(x) == i for x, i in list(rows.items())[::97])
+    assert names.get("other") is None and language.Names({}).get("") is None
+    assert len(pickle.dumps(names)) < 13 * len(rows)
+
+
 def test_held_out(spark):
     from zlib import crc32
 
