@@ -4,6 +4,10 @@ A text is cut into sentences (at line ends, and at white space after . ! ? ; or
 every run of other characters than letters and digits a space. Known licence sentences have identifiers of one letter;
 a text becomes a string of them, with ~ for any other sentence. Licence rules are sequences of identifiers, tried in the
 given order at each place, so a rule that stands earlier takes its sentences before a shorter one can.
+
+Before the cut, known sentences that run over several lines, and the full sentences of genuine notices, are put on a line of
+their own in their short form. The number of sentences is that of the text as it is. `sql()` has no such step: it misses
+wrapped and full sentences, and agrees where a text has none.
 """
 
 from __future__ import annotations
@@ -57,9 +61,42 @@ RULES = (
     ("proprietary", "E"),
 )
 
+#: Full normalised sentences of the notices, by the identifier of the sentence that stands for them.
+FULL = (
+    ("G", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("I", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("J", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("K", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("L", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("C", "licensed under the apache license version 2 0 the license"),
+    ("N", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("N", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+)
+#: Sentences that stand in numbered lists.
+LISTED = "KL"
+
 _CUT = r"\s*\n\s*|[.!?;:]+\s+"
 
 
+_GAP = r"(?:(?![.!?;:]\s|\n[^\S\n]*\n)[^a-zA-Z0-9])+"
+
+
+def _pattern(identifier: str, sentence: str, full: bool) -> str:
+    """A known sentence in a text, over any number of lines, between the places where sentences are cut. A full one may follow other words."""
+    number = r"(?:[0-9]+[.)]\s+)?" if identifier in LISTED else ""
+    start = "(?<![a-zA-Z0-9])" if full else r"(?:^|(?<=\n)|(?<=[.!?;:]\s))[^a-zA-Z0-9]*"
+    return rf"(?i){start}{number}{_GAP.join(sentence.split())}(?=[^a-zA-Z0-9]*?(?:\n|$|[.!?;:]\s))"
+
+
+def _unwrapped(text: str) -> str:
+    """SQL: the text with known sentences on lines of their own. Only texts that have a sentence's words in a row are searched for it."""
+    short = dict(SENTENCES)
+    known = ", ".join(f"struct(' {s} ' AS words, r'{_pattern(i, s, (i, s) in FULL)}' AS pattern, '\\n{short[i]}\\n' AS line)" for i, s in (*FULL, *SENTENCES))
+    flat = f"concat(' ', regexp_replace(lower({text}), '[^a-z0-9]+', ' '), ' ')"
+    found = f"filter(array({known}), s -> contains(flat, s.words))"
+    return f"aggregate(transform(array({flat}), flat -> {found})[0], {text}, (done, s) -> regexp_replace(done, s.pattern, s.line))"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, matches, licences), one row per row of docs, without a shuffle.
 
@@ -68,13 +105,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ids are rows like others.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sentences = F.expr(f"filter(split(_text, r'{_CUT}'), x -> x rlike '[a-zA-Z0-9]')")
+    cut = lambda text: F.expr(f"filter(split({text}, r'{_CUT}'), x -> x rlike '[a-zA-Z0-9]')")
     known = "CASE x " + " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in SENTENCES) + " ELSE '~' END"
     marks = F.expr(f"array_join(transform(transform(_sentences, x -> trim(regexp_replace(lower(x), '[^a-z0-9]+', ' '))), x -> {known}), '')")
     pattern = "|".join(sequence for _, sequence in RULES)
     names = "CASE x " + " ".join(f"WHEN '{s}' THEN '{n}'" for n, s in RULES) + " END"
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text")).withColumn("_sentences", sentences)
-    out = out.select("doc_id", F.size("_sentences").cast("long").alias("n_sentences"), marks.alias("_marks"))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text")).withColumn("_lines", F.expr(_unwrapped("_text")))
+    out = out.select("doc_id", F.size(cut("_text")).cast("long").alias("n_sentences"), cut("_lines").alias("_sentences")).select("doc_id", "n_sentences", marks.alias("_marks"))
     matched = F.expr(f"transform(regexp_extract_all(_marks, '({pattern})', 1), x -> {names})")
     out = out.select("doc_id", "n_sentences", F.translate("_marks", "~", "").alias("sentence_ids"), matched.alias("matches"))
     return out.withColumn("licences", F.array_sort(F.array_distinct("matches")))

@@ -155,6 +155,51 @@ def test_licences(spark):
     assert rows[0].licences == ["MIT", "proprietary"] and rows[0].n_sentences == 4
 
 
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+
+
+def test_genuine_licences(spark):
+    """Notices as they are wrapped in files, and on one line; sentences of another paragraph or version aren't joined."""
+    texts = [MIT, BSD, APACHE, GPL, "Text.\nReleased under the\nMIT License. More.", "All rights\n\nreserved", GPL.replace("version 3", "version 2"), "Released. Under the MIT license"]
+    texts += [" ".join(t.split()) for t in (MIT, BSD, GPL)]
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.sentence_ids for r in rows] == ["GHI", "JKL", "COP", "MN", "D", "", "M", "", "GHI", "JKL", "MN"]
+    assert [r.licences for r in rows][:8] == [["MIT"], ["BSD-2-Clause"], ["Apache-2.0"], ["GPL-3.0"], ["MIT"], [], [], []]
+
+
 def test_url_parts(spark):
     cases = {
         "http://A.Example.NET/en/1?q#f": ("a.example.net", "/en/1", "example.net/en/"),
