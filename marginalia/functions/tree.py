@@ -138,5 +138,14 @@ class Out:
 
 
 def text_of(node: Node) -> str:
-    """All text below a node, in order."""
-    return node.text + "".join(text_of(c) + c.tail for c in node)
+    """All text below a node, in order; without recursion."""
+    parts: list[str] = [node.text]
+    todo: list[Node | str] = list(reversed(node.children))
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            parts.append(at)
+        else:
+            parts.append(at.text)
+            todo += [at.tail, *reversed(at.children)]
+    return "".join(parts)

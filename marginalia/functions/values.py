@@ -120,13 +120,25 @@ def tree_swhid(entries: Column) -> Column:
 
 
 def directory_swhids(files: DataFrame) -> DataFrame:
-    """(root, swhid) of the directories that hold files(root, path, content), path with / between names. Nested directories are named from the inside out, one aggregation a level."""
-    nodes = files.select("root", F.split("path", "/").alias("names"), blob_swhid(F.col("content")).alias("swhid"), F.lit(False).alias("folder"))
-    depth = nodes.agg(F.max(F.size("names"))).first()[0] or 0
-    for level in range(depth, 0, -1):
-        inner = nodes.where(F.size("names") == level)
-        entry = F.struct(F.element_at("names", -1).alias("name"), "swhid", "folder")
-        made = inner.groupBy("root", F.slice("names", 1, level - 1).alias("names")).agg(F.collect_list(entry).alias("entries"))
-        folders = made.select("root", "names", tree_swhid(F.col("entries")).alias("swhid"), F.lit(True).alias("folder"))
-        nodes = nodes.where(F.size("names") < level).unionAll(folders)
-    return nodes.select("root", "swhid")
+    """(root, swhid) of the directories that hold files(root, path, content), path with / between names. Contents are hashed once; then the names and hashes of a root's files, which are short, are gathered and its directories named from the inside out, level by level, in expressions over that list."""
+    entry = "struct<names: array<string>, swhid: string, folder: boolean>"
+    one = F.struct(F.split("path", "/").alias("names"), blob_swhid(F.col("content")).alias("swhid"), F.lit(False).alias("folder")).cast(entry)
+    rows = files.select("root", one.alias("e")).groupBy("root").agg(F.collect_list("e").alias("entries"))
+    deepest = rows.agg(F.max(F.array_max(F.transform("entries", lambda e: F.size(e["names"]))))).first()[0] or 0
+    for level in range(deepest, 1, -1):
+        rows = _folded(rows, level, entry)
+    return rows.select("root", tree_swhid(_entries(F.col("entries"))).alias("swhid"))
+
+
+def _folded(rows: DataFrame, level: int, entry: str) -> DataFrame:
+    """Replaces the entries with so many names by the folders that hold them."""
+    above = lambda e: F.slice(e["names"], 1, level - 1)
+    inside = lambda d: F.filter("_inner", lambda e: above(e) == d)
+    folder = lambda d: F.struct(d.alias("names"), tree_swhid(_entries(inside(d))).alias("swhid"), F.lit(True).alias("folder")).cast(entry)
+    rows = rows.withColumn("_inner", F.filter("entries", lambda e: F.size(e["names"]) == level)).withColumn("_folders", F.array_distinct(F.transform("_inner", above)))
+    return rows.select("root", F.concat(F.filter("entries", lambda e: F.size(e["names"]) < level), F.transform("_folders", folder)).alias("entries"))
+
+
+def _entries(entries: Column) -> Column:
+    """Entries of a directory for tree_swhid."""
+    return F.transform(entries, lambda e: F.struct(F.element_at(e["names"], -1).alias("name"), e["swhid"].alias("swhid"), e["folder"].alias("folder")))

@@ -5,7 +5,8 @@ Reading a document is a map over rows: one value in, one out, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,37 +43,82 @@ def _bounded(ref: dict) -> dict:
     return ref | {"edition": _fits(ref["edition"]), "date": bound(ref["date"]), "access_date": bound(ref["access_date"]), "fields": list(ref["fields"].items()), "pub_ids": list(ref["pub_ids"].items())}
 
 
-def convert(content: bytes | None) -> dict:
-    """All values of one document."""
+#: Frames of Python that reading one document may take: some per level of its depth.
+DEEPEST = 1_000_000
+_RENDERED = frozenset(["title", "abstract", "body", "bare_tex", "copyright", "license_p"])
+
+
+def convert(content: bytes | None, wanted: frozenset[str] | None = None) -> dict:
+    """All values of one document, or the wanted ones. It never fails: what can't be read, because it is nested too deeply or for any other reason, is an issue of a row that isn't valid."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEEPEST))
+    try:
+        return _convert(content, wanted)
+    except (RecursionError, MemoryError, ValueError, LookupError, TypeError, AttributeError) as e:
+        return {"valid": False, "issues": [{"condition": ["Unreadable", type(e).__name__], "sourceline": None, "info": str(e)[:200]}]}
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _convert(content: bytes | None, wanted: frozenset[str] | None) -> dict:
     article, issues = model.parse(tree.read(content or b""))
     row = {"valid": article is not None, "issues": [{"condition": list(i.condition), "sourceline": i.line, "info": i.info} for i in issues]}
     if article is None:
         return row
-    html = render.HtmlWriter()
-    row |= {"body": html.section(article.body), "bare_tex": html.bare_tex}
-    row["title"] = " " if article.title is None else html.inner(article.title)
-    row["abstract"] = None if article.abstract is None else html.blocks(article.abstract)
+    asks = lambda *names: wanted is None or not wanted.isdisjoint(names)
     row["authors"] = article.authors
+    if asks(*_RENDERED):
+        html = render.HtmlWriter()
+        row |= {"body": html.section(article.body), "bare_tex": html.bare_tex}
+        row["title"] = " " if article.title is None else html.inner(article.title)
+        row["abstract"] = None if article.abstract is None else html.blocks(article.abstract)
+        if article.license is not None:
+            row |= {"license_p": html.inner(article.license["license_p"]), "copyright": None if article.copyright is None else html.inner(article.copyright)}
     if article.license is not None:
-        row |= {"license_ref": article.license["license_ref"] or None, "cc_license_type": article.license["cc_license_type"], "license_p": html.inner(article.license["license_p"])}
-        row["copyright"] = None if article.copyright is None else html.inner(article.copyright)
-    row["refs"] = None if article.refs is None else [_bounded(r) for r in article.refs]
-    row["xml"] = render.baseline_xml(article)
+        row |= {"license_ref": article.license["license_ref"] or None, "cc_license_type": article.license["cc_license_type"]}
+    if asks("refs"):
+        row["refs"] = None if article.refs is None else [_bounded(r) for r in article.refs]
+    if asks("xml"):
+        row["xml"] = render.baseline_xml(article)
     return row
 
 
-def articles(raw: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
-    """raw(article_id, content) -> one row per document. Malformed XML, or another root than an article, gives a row that isn't valid, with its issues."""
-    arrow = to_arrow_schema(T._parse_datatype_string(ARTICLE), prefers_large_types=False)
+def _map(raw: DataFrame, id_col: str, content_col: str, schema: str, make: Callable[[bytes | None], dict]) -> DataFrame:
+    """A row per document, without a shuffle."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [convert(x) | {"article_id": i} for i, x in zip(part.column("id").to_pylist(), part.column("content").to_pylist(), strict=True)]
+                rows = [make(x) | {"article_id": i} for i, x in zip(part.column("id").to_pylist(), part.column("content").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return raw.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, ARTICLE)
+    return raw.select(F.col(id_col).cast("string").alias("id"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, schema)
+
+
+def articles(raw: DataFrame, id_col: str = "article_id", content_col: str = "content", fields: str | None = None) -> DataFrame:
+    """raw(article_id, content) -> one row per document. Malformed XML, or another root than an article, gives a row that isn't valid, with its issues. fields: names of the columns to make besides article_id, all by default; what nobody asks for isn't made."""
+    if fields is None:
+        return _map(raw, id_col, content_col, ARTICLE, convert)
+    wanted = frozenset(fields.split())
+    kinds = dict(_columns())
+    schema = ", ".join(["article_id string", *(f"{c} {kinds[c]}" for c in fields.split())])
+    return _map(raw, id_col, content_col, schema, lambda x: convert(x, wanted))
+
+
+def _columns() -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(ARTICLE).fields]
+
+
+def restyled_twice(raw: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
+    """(article_id, xml, same): each document's normal form, and whether the normal form of that is the same; both in one pass."""
+
+    def make(content: bytes | None) -> dict:
+        xml = convert(content, frozenset(["xml"])).get("xml")
+        return {"xml": xml, "same": xml is not None and convert(xml.encode(), frozenset(["xml"])).get("xml") == xml}
+
+    return _map(raw, id_col, content_col, "article_id string, xml string, same boolean", make)
 
 
 def issues(parsed: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def webstracts(parsed: DataFrame, html_refs: bool = True) -> DataFrame:
         "issues": issue_records(F.col("issues")),
         "archive_date": F.lit(None).cast("string"),
         "date": F.lit(None).cast("string"),
-        "source": F.lit(None).cast("string"),
+        "source": F.col("source") if "source" in parsed.columns else F.lit(None).cast("string"),
         "edition": F.lit(None).cast("struct<edid: string, base_dsi: string, newer_edid: string>"),
     }
     return parsed.where("valid").withColumns(made).select("article_id", *KEYS)
@@ -73,6 +73,12 @@ def with_editions(rows: DataFrame, editions: DataFrame) -> DataFrame:
     return rows.join(known, "article_id", "left").withColumns({"edition": F.coalesce("_edition", "edition"), "date": F.coalesce("_date", "date")}).drop("_edition", "_date")
 
 
+def with_source(rows: DataFrame, swhids: DataFrame) -> DataFrame:
+    """Adds the identifier of each article's folder, of swhids(root, swhid), as `source`."""
+    named = swhids.select(F.col("root").alias("article_id"), F.col("swhid").alias("source"))
+    return rows.drop("source").join(named, "article_id", "left")
+
+
 def missing(editions: DataFrame, stored: DataFrame) -> DataFrame:
     """Editions that no stored web abstract covers yet: what an incremental run works on."""
     return editions.join(stored.select("article_id"), "article_id", "left_anti")
@@ -142,6 +148,25 @@ def write_files(rows: DataFrame, path: str, text_col: str) -> None:
     rows.select("article_id", text_col).write.json(path)
 
 
-def write_articles(rows: DataFrame, path: str, xml_col: str = "xml") -> None:
-    """Writes one folder per article, `article_id=...`, with its XML as it is."""
-    rows.select("article_id", F.col(xml_col).alias("value")).write.partitionBy("article_id").option("lineSep", "\n").text(path)
+def write_articles(rows: DataFrame, path: str, xml_col: str = "xml", name: str = "article.xml") -> None:
+    """Writes each article's XML as path/article_id/article.xml, byte for byte, for tools that read single files. Each task writes its own rows through pyarrow's file systems (path is an URI that all machines understand), so the number of articles doesn't matter to Spark's committer; a file is written under another name and then renamed, so a task that is run again does no harm. Ids are names of folders: without `/`, not empty."""
+    if rows.where("article_id IS NULL OR article_id = '' OR contains(article_id, '/') OR article_id IN ('.', '..')").limit(1).count():
+        raise ValueError("ids of articles must be names of folders")
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for i, xml in zip(batch.column("article_id").to_pylist(), batch.column(xml_col).to_pylist(), strict=True):
+                if xml is not None:
+                    store.create_dir(f"{base}/{i}", recursive=True)
+                    made = f"{base}/{i}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(made) as out:
+                        out.write(xml.encode())
+                    store.move(made, f"{base}/{i}/{name}")
+            yield batch.slice(0, 0)
+
+    rows.select("article_id", xml_col).mapInArrow(run, rows.select("article_id", xml_col).schema).write.format("noop").mode("overwrite").save()

@@ -142,16 +142,119 @@ def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def odd_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event is an article with unknown elements and attributes, by its number."""
+    """An event is an article with unknown elements and attributes, by its number: by 17 one that makes it forgone, by 19 maths that isn't kept, by 23 one that doesn't matter."""
     key = F.col("event_id")
     word = escaped(F.col("event_type"))
     body = F.concat(
-        element("p", F.when(key % 2 == 0, element("sc", word)).otherwise(word)),
+        element("p", F.when(key % 2 == 0, element("sc", word)).otherwise(word), F.when(key % 17 == 0, "<supplementary-material>s</supplementary-material>")),
         F.when(key % 3 == 0, element("fig", "<label>1</label>")).otherwise(""),
         F.when(key % 5 == 0, element("p", word, content_type="odd")).otherwise(""),
         F.when(key % 7 == 0, element("sec", "<p>no heading</p>")).otherwise(""),
+        F.when(key % 19 == 0, element("p", "x ", _formula("x", "<mml:semantics/>"))).otherwise(""),
     )
-    return raw(table(spark, sf_dir, "events"), key, article(body=body))
+    front = element("front", F.when(key % 23 == 0, element("journal-meta", element("journal-id", "J"))), element("article-meta", element("title-group", element("article-title", "T"))))
+    return raw(table(spark, sf_dir, "events"), key, element("article", front, element("body", body)))
+
+
+_MATHML = 'xmlns:mml="http://www.w3.org/1998/Math/MathML"'
+_XLINK = 'xmlns:xlink="http://www.w3.org/1999/xlink"'
+
+
+def _formula(tex: str, inside: str = "<mml:mi>x</mml:mi>", tag: str = "inline-formula") -> str:
+    return f"<{tag}><alternatives><tex-math>{tex}</tex-math><mml:math {_MATHML}>{inside}</mml:math></alternatives></{tag}>"
+
+
+def one_of(key: Column, *options: Column | str) -> Column:
+    """One of some texts, by a number."""
+    return F.get(F.array(*(F.lit(o) if isinstance(o, str) else o for o in options)), (key % len(options)).cast("int"))
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is an article with one link of one of eight kinds."""
+    key = F.col("c_custkey")
+    number = key.cast("string")
+    made = one_of(
+        key,
+        F.concat(F.lit(f'<ext-link {_XLINK} ext-link-type="uri" xlink:href="https://x.org/'), number, F.lit('">t</ext-link>')),
+        F.concat(F.lit(f'<ext-link {_XLINK} xlink:href="ftp://x.org/'), number, F.lit('">t</ext-link>')),
+        F.concat(F.lit(f'<ext-link {_XLINK} ext-link-type="doi" xlink:href="https://x.org/'), number, F.lit('">t</ext-link>')),
+        "<ext-link>t</ext-link>",
+        F.concat(F.lit('<a rel="external" href="http://x.org/'), number, F.lit('">t <b>u</b></a>')),
+        F.concat(F.lit('<a href="#r'), number, F.lit('">t</a>')),
+        F.concat(F.lit('<a href="page/'), number, F.lit('">t</a>')),
+        F.concat(F.lit('<xref rid="r'), number, F.lit('">t</xref>')),
+    )
+    return raw(table(spark, sf_dir, "customer"), key, article(body=element("p", made, ".")))
+
+
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is an article with a block of one of eight kinds of markup."""
+    key = F.col("p_partkey")
+    name = escaped(F.col("p_name"))
+    body = one_of(
+        key,
+        element("p", element("bold", name), element("italic", "i", element("sub", "s"))),
+        element("p", element("monospace", name), element("sup", "u")),
+        element("p", element("code", name), "<break/>", "x"),
+        element("preformat", "a  ", name),
+        element("disp-quote", element("p", name)),
+        element("list", element("list-item", element("p", name)), list_type="order"),
+        element("p", element("underline", name), "."),
+        element("p", element("b", "a", element("xref", name, rid="q", ref_type="bibr"))),
+    )
+    return raw(table(spark, sf_dir, "part"), key, article(body=body))
+
+
+def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is an article with a formula of one of five kinds."""
+    key = F.col("o_orderkey")
+    body = one_of(
+        key,
+        element("p", "a ", _formula("x<y".replace("<", "&lt;"))),
+        _formula("z", tag="disp-formula"),
+        element("p", "a ", f"<inline-formula><mml:math {_MATHML}><mml:mi>x</mml:mi></mml:math></inline-formula>"),
+        element("p", "a ", "<inline-formula><alternatives><tex-math>w</tex-math></alternatives></inline-formula>"),
+        element("p", "plain"),
+    )
+    return raw(table(spark, sf_dir, "orders"), key, article(body=body))
+
+
+def fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is an article whose front matter lacks something or has too much, by its number."""
+    key = F.col("p_partkey")
+    name = "<name><surname>S</surname></name>"
+    contrib = f'<contrib contrib-type="author">{name}</contrib>'
+    group = "<title-group><article-title>T</article-title></title-group>"
+    front = one_of(
+        key,
+        f"<front><article-meta>{group}</article-meta></front>",
+        f"<front><article-meta>{group}<contrib-group></contrib-group></article-meta></front>",
+        "<front><article-meta></article-meta></front>",
+        "<front></front>",
+        f"<front><article-meta>{group}<contrib-group><contrib>{name}</contrib></contrib-group></article-meta></front>",
+        f'<front><article-meta>{group}<contrib-group><contrib contrib-type="editor">{name}</contrib>{contrib}</contrib-group></article-meta></front>',
+        f'<front><article-meta>{group}<contrib-group><contrib contrib-type="author"><contrib-id contrib-id-type="orcid"><b>no</b></contrib-id>{name}</contrib></contrib-group></article-meta></front>',
+        f'<front><article-meta>{group}{group}<permissions><license><license_ref content-type="odd">u</license_ref></license></permissions></article-meta></front>',
+        "",
+    )
+    return raw(table(spark, sf_dir, "part"), key, element("article", front, element("body", "<p>x</p>")))
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is an article that cites one work by its first page, its electronic location, or both."""
+    key = F.col("p_partkey")
+    page, place = element("fpage", key.cast("string")), element("elocation-id", F.concat(F.lit("e"), key.cast("string")))
+    fields = one_of(key, page, place, F.concat(page, place))
+    return raw(table(spark, sf_dir, "part"), key, article(body=element("p", cite("r1", "1")), refs=ref("r1", element("source", "S"), fields)))
+
+
+def files_of_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, path, content): a nation's article and, for every second one, a file in a folder `assets`."""
+    n = table(spark, sf_dir, "nation")
+    text = F.concat(F.lit("<article>"), F.col("n_name"), F.lit("</article>")).cast("binary")
+    one = n.select(F.col("n_nationkey").cast("string").alias("root"), F.lit("article.xml").alias("path"), text.alias("content"))
+    other = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("root"), F.lit("assets/name.txt").alias("path"), F.col("n_name").cast("binary").alias("content"))
+    return one.unionAll(other)
 
 
 def tally_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

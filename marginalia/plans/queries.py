@@ -54,14 +54,14 @@ def _csl_fields(rows: DataFrame) -> DataFrame:
 @query(_PART_CSL)
 def ref_csl_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References as CSL-JSON."""
-    parsed = articles.articles(corpora.part_references(spark, sf_dir))
+    parsed = articles.articles(corpora.part_references(spark, sf_dir), fields="refs")
     return _csl_fields(parsed.select("article_id", csl.list_to_json(F.col("refs")).alias("csl")))
 
 
 @query(_PART_CSL)
 def csl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSL-JSON read back into references and written again."""
-    parsed = articles.articles(corpora.part_references(spark, sf_dir))
+    parsed = articles.articles(corpora.part_references(spark, sf_dir), fields="refs")
     back = csl.list_from_json(csl.list_to_json(F.col("refs")))
     return _csl_fields(parsed.select("article_id", csl.list_to_json(back).alias("csl")))
 
@@ -81,7 +81,7 @@ FROM part
 """)
 def bibliography_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in the full style."""
-    refs = articles.references(articles.articles(corpora.part_references(spark, sf_dir)))
+    refs = articles.references(articles.articles(corpora.part_references(spark, sf_dir), fields="refs"))
     ref = F.struct(*(F.col(c) for c in refs.columns if c not in ("article_id", "zidx")))
     return refs.select(_article_id(), bibliography.full(ref).alias("full_style"))
 
@@ -96,7 +96,7 @@ FROM (SELECT *, concat_ws(' ', (p_partkey % 50 + 1970)::VARCHAR, CASE WHEN p_par
 """)
 def bibliography_abridged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in the short style."""
-    refs = articles.references(articles.articles(corpora.part_references(spark, sf_dir)))
+    refs = articles.references(articles.articles(corpora.part_references(spark, sf_dir), fields="refs"))
     ref = F.struct(*(F.col(c) for c in refs.columns if c not in ("article_id", "zidx")))
     return refs.select(_article_id(), bibliography.abridged(ref).alias("short_style"))
 
@@ -112,7 +112,7 @@ FROM (SELECT l_orderkey, l_partkey, min(l_linenumber * 10000000 + l_partkey) AS
 @query(_NUMBERED)
 def cite_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of parsed articles in the order of first citation; those that aren't cited are gone."""
-    refs = articles.references(articles.articles(corpora.order_citations(spark, sf_dir)))
+    refs = articles.references(articles.articles(corpora.order_citations(spark, sf_dir), fields="refs"))
     return refs.select(_article_id(), (F.col("zidx") + 1).cast("int").alias("rord"), "id")
 
 
@@ -139,7 +139,7 @@ SELECT l_orderkey, 'p' || l_partkey, (k + 1 + row_number() OVER (PARTITION BY l_
 @query(_KEPT_ORDER)
 def cite_order_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of parsed articles whose citations print the number of their line: the list's order is kept while that fits."""
-    refs = articles.references(articles.articles(corpora.order_citations(spark, sf_dir, F.col("l_linenumber").cast("string"))))
+    refs = articles.references(articles.articles(corpora.order_citations(spark, sf_dir, F.col("l_linenumber").cast("string")), fields="refs"))
     return refs.select(_article_id(), "id", (F.col("zidx") + 1).cast("int").alias("rord"))
 
 
@@ -161,8 +161,8 @@ FROM (SELECT o_orderkey, o_orderkey % 9 + 2 AS n FROM orders), LATERAL (SELECT u
 """)
 def cite_range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of the normal form: a dash between two stands for those between."""
-    parsed = articles.articles(corpora.range_articles(spark, sf_dir)).select("article_id", F.col("xml").alias("content"))
-    found = nodes.scan_xml(parsed).where("tag = 'xref'")
+    parsed = articles.articles(corpora.range_articles(spark, sf_dir), fields="xml").select("article_id", F.col("xml").alias("content"))
+    found = nodes.scan_xml(parsed, columns="article_id pre tag attrs text").where("tag = 'xref'")
     order = F.row_number().over(Window.partitionBy("article_id").orderBy("pre")) - 1
     return found.select(_article_id(), order.cast("int").alias("ord"), F.col("attrs")["rid"].alias("rid"), F.col("text").alias("shown"))
 
@@ -182,7 +182,7 @@ def cite_ranges_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS article_id, count(*) AS n FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY ALL")
 def dangling_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations without a reference, as issues of parsed articles."""
-    found = articles.issues(articles.articles(corpora.order_citations(spark, sf_dir))).where(F.get("condition", F.lit(0)) == "InvalidCitation")
+    found = articles.issues(articles.articles(corpora.order_citations(spark, sf_dir), fields="issues")).where(F.get("condition", F.lit(0)) == "InvalidCitation")
     return found.groupBy(_article_id()).agg(F.count("*").alias("n"))
 
 
@@ -243,7 +243,7 @@ SELECT p_partkey AS article_id, (['cc0license', 'ccbylicense', 'ccbysalicense',
 """)
 def license_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences and copyright of parsed articles."""
-    parsed = articles.articles(corpora.licensed(spark, sf_dir))
+    parsed = articles.articles(corpora.licensed(spark, sf_dir), fields="cc_license_type license_p copyright")
     return parsed.select(_article_id(), "cc_license_type", "license_p", "copyright")
 
 
@@ -263,7 +263,7 @@ FROM customer WHERE c_custkey % 7 <> 0
 """)
 def authors_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors with names and ORCIDs; those without a name are gone."""
-    found = articles.authors(articles.articles(corpora.customer_authors(spark, sf_dir)))
+    found = articles.authors(articles.articles(corpora.customer_authors(spark, sf_dir), fields="authors"))
     return found.select(_article_id(), "surname", "given_names", values.orcid_19(F.col("orcid")).alias("orcid"))
 
 
@@ -287,7 +287,7 @@ FROM conversations WHERE text IS NOT NULL
 """)
 def def_list_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and definitions of the normal form."""
-    parsed = articles.articles(corpora.conversation_lists(spark, sf_dir)).select("article_id", F.col("xml").alias("content"))
+    parsed = articles.articles(corpora.conversation_lists(spark, sf_dir), fields="xml").select("article_id", F.col("xml").alias("content"))
     found = nodes.scan_xml(parsed)
     items = found.where("tag = 'div'").select("article_id", "pre", "post", F.col("ord").alias("item"))
     texts = found.where("tag IN ('dt', 'p')").select("article_id", F.col("tag").alias("_tag"), F.col("text").alias("_text"), F.when(F.col("tag") == "dt", F.col("parent")).otherwise(F.col("parent") - 2).alias("pre"))
@@ -301,7 +301,7 @@ UNION ALL SELECT n_regionkey, 'h3', 's' || s_suppkey, s_name FROM supplier JOIN
 """)
 def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the HTML of nested sections."""
-    body = articles.articles(corpora.nested_sections(spark, sf_dir)).select("article_id", "body")
+    body = articles.articles(corpora.nested_sections(spark, sf_dir), fields="body").select("article_id", "body")
     found = nodes.scan_html(body, "article_id", "body").where(F.regexp_like("tag", F.lit("^h[1-6]$")))
     return found.select(_article_id(), "tag", F.col("attrs")["id"].alias("id"), F.col("text").alias("title"))
 
@@ -315,7 +315,7 @@ SELECT doc_id AS article_id, tag, n FROM (SELECT doc_id, unnest(['p', 'div', 'ul
 """)
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of bodies in which lists split paragraphs: what follows is a plain block, and an empty paragraph."""
-    parsed = articles.articles(corpora.split_paragraphs(spark, sf_dir)).select("article_id", F.col("xml").alias("content"))
+    parsed = articles.articles(corpora.split_paragraphs(spark, sf_dir), fields="xml").select("article_id", F.col("xml").alias("content"))
     found = nodes.scan_xml(parsed).where(F.get("path", F.size("path") - 2) == "article-body")
     return found.groupBy(_article_id(), "tag").agg(F.count("*").alias("n"))
 
@@ -326,7 +326,7 @@ def xml_escape_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     lines = F.filter(F.transform(F.split("text", "\n", -1), corpora.plain), lambda x: x != "")
     body = F.array_join(F.transform(lines, lambda x: corpora.element("p", values.escaped(x))), "")
-    parsed = articles.articles(corpora.raw(docs, F.col("doc_id"), corpora.article(body=body))).select("article_id", F.col("xml").alias("content"))
+    parsed = articles.articles(corpora.raw(docs, F.col("doc_id"), corpora.article(body=body)), fields="xml").select("article_id", F.col("xml").alias("content"))
     found = nodes.scan_xml(parsed).where("tag = 'p' AND text <> ' '").select("article_id", F.struct("pre", "text").alias("line"))
     joined = found.groupBy(_article_id()).agg(F.array_sort(F.collect_list("line")).alias("lines"))
     return joined.select("article_id", F.array_join("lines.text", "\n").alias("text"))
@@ -334,50 +334,84 @@ def xml_escape_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- issues and curation
 
-@query("""
+_MML = "{http://www.w3.org/1998/Math/MathML}"
+
+
+@query(f"""
 SELECT condition, count(*) AS n FROM (
   SELECT 'UnsupportedElement,sc,p' AS condition FROM events WHERE event_id % 2 = 0
   UNION ALL SELECT 'UnsupportedElement,fig,body' FROM events WHERE event_id % 3 = 0
   UNION ALL SELECT 'UnsupportedAttribute,p,content-type' FROM events WHERE event_id % 5 = 0
-  UNION ALL SELECT 'MissingSectionHeading,sec,body' FROM events WHERE event_id % 7 = 0) GROUP BY condition
+  UNION ALL SELECT 'MissingSectionHeading,sec,body' FROM events WHERE event_id % 7 = 0
+  UNION ALL SELECT 'UnsupportedElement,supplementary-material,p' FROM events WHERE event_id % 17 = 0
+  UNION ALL SELECT 'UnsupportedElement,{_MML}semantics,{_MML}math' FROM events WHERE event_id % 19 = 0
+  UNION ALL SELECT 'UnsupportedElement,journal-meta,front' FROM events WHERE event_id % 23 = 0) GROUP BY condition
 """)
 def unsupported_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the conditions that parsing reports."""
-    found = articles.distinct_conditions(articles.articles(corpora.odd_tags(spark, sf_dir)))
+    found = articles.distinct_conditions(articles.articles(corpora.odd_tags(spark, sf_dir), fields="issues"))
     return found.groupBy(F.array_join("condition", ",").alias("condition")).agg(F.count("*").alias("n"))
 
 
-#: Tiers of conditions of the events' articles.
-TIERS = {1: [("MissingSectionHeading", "sec", "body")], 100: [("UnsupportedElement", "fig", "body")]}
-_PENALTY = "CASE WHEN event_id % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 100 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END"
+# sc in p has a tier of 10, fig in body one of 100, supplementary-material in p one of 1000; a section without heading and maths have none and count 10; attributes and journal-meta are ignored
+_PENALTY = "CASE WHEN event_id % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 100 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN event_id % 17 = 0 THEN 1000 ELSE 0 END + CASE WHEN event_id % 19 = 0 THEN 10 ELSE 0 END"
 
 
 def _penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = articles.distinct_conditions(articles.articles(corpora.odd_tags(spark, sf_dir)))
-    return curation.penalties(found, curation.tier_table(spark, TIERS))
+    parsed = articles.articles(corpora.odd_tags(spark, sf_dir), fields="issues")
+    listed = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("article_id"))
+    return curation.penalties(listed, articles.distinct_conditions(parsed), curation.tier_table(spark), curation.ignored_table(spark))
 
 
-@query(f"SELECT event_id AS article_id, ({_PENALTY})::BIGINT AS penalty, false AS mathml FROM events WHERE {_PENALTY} > 0")
+@query(f"SELECT event_id AS article_id, ({_PENALTY})::BIGINT AS penalty, event_id % 19 = 0 AS mathml FROM events")
 def penalty_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Penalties of articles: a table of tiers, 10 for any other condition, nothing for unsupported attributes."""
+    """Penalties of articles by the table of tiers, without the ignored conditions; articles without any have 0."""
     return _penalties(spark, sf_dir).select(_article_id(), "penalty", "mathml")
 
 
-@query(f"SELECT least({_PENALTY}, 100)::BIGINT AS penalty, count(*) AS n FROM events WHERE {_PENALTY} > 0 GROUP BY 1")
+@query(f"SELECT least({_PENALTY}, 100)::BIGINT AS penalty, count(*) AS n FROM events WHERE {_PENALTY} < 1000 AND event_id % 19 <> 0 GROUP BY 1")
 def penalty_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The histogram of penalties, from 100 on together."""
+    """The histogram of penalties of what is to be done, from 100 on together."""
     return curation.penalty_histogram(_penalties(spark, sf_dir))
 
 
+_STATUS = f"CASE WHEN event_id % 11 = 0 THEN 'NOTFOUND' WHEN event_id % 13 = 0 THEN 'SKIPPED' WHEN {_PENALTY} >= 1000 THEN 'FORGO' WHEN event_id % 19 = 0 THEN 'MATHML' ELSE 'TBD' END"
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of a list with their status: some have no file, some are news."""
+    key = F.col("event_id")
+    listed = table(spark, sf_dir, "events").select(key.cast("string").alias("article_id"), F.concat(F.lit("f"), key.cast("string")).alias("path"), F.concat(F.lit("J"), (key % 5).cast("string")).alias("journal_id"), F.when(key % 13 == 0, "news").otherwise("research-article").alias("article_type"))
+    there = table(spark, sf_dir, "events").where(key % 11 != 0).select(F.concat(F.lit("f"), key.cast("string")).alias("path"))
+    scored = curation.listed_files(listed, there).join(_penalties(spark, sf_dir), "article_id")
+    return scored.withColumn("status", curation.status(F.col("found"), F.col("article_type"), F.col("penalty"), F.col("mathml")))
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT {_STATUS} AS status FROM events) GROUP BY status")
+def article_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each article of a list, by its file, type and penalty."""
+    return _cases(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query(f"""
-SELECT status, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'NOTFOUND' WHEN event_id % 13 = 0 THEN 'SKIPPED' WHEN coalesce({_PENALTY}, 0) >= 1000 THEN 'FORGO' ELSE 'TBD' END AS status FROM events) GROUP BY status
+WITH c AS (SELECT {_STATUS} AS status, 'J' || (event_id % 5) AS journal, least({_PENALTY}, 100)::VARCHAR AS penalty FROM events)
+SELECT 'articles' AS kind, status AS key, count(*) AS n FROM c GROUP BY ALL
+UNION ALL SELECT 'forgone journals', journal, count(*) FROM c WHERE status = 'FORGO' GROUP BY ALL
+UNION ALL SELECT 'maths journals', journal, count(*) FROM c WHERE status = 'MATHML' GROUP BY ALL
+UNION ALL SELECT 'types', 'research-article', count(*) FROM c WHERE status = 'TBD' GROUP BY ALL
+UNION ALL SELECT 'journals', journal, count(*) FROM c WHERE status = 'TBD' GROUP BY ALL
+UNION ALL SELECT 'penalties', penalty, count(*) FROM c WHERE status = 'TBD' GROUP BY ALL
 """)
-def article_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of each article of a list."""
-    listed = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("article_id"), (F.col("event_id") % 11 != 0).alias("found"), F.when(F.col("event_id") % 13 == 0, "news").otherwise("research-article").alias("type"))
-    scored = listed.join(_penalties(spark, sf_dir), "article_id", "left")
-    state = curation.status(F.col("found"), F.col("type"), F.coalesce("penalty", F.lit(0)), F.coalesce("mathml", F.lit(False)))
-    return scored.groupBy(state.alias("status")).agg(F.count("*").alias("n"))
+def curation_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distributions of a curation run, in one pass."""
+    return curation.distributions(_cases(spark, sf_dir))
+
+
+@query("SELECT 'f' || event_id AS value FROM events WHERE event_id % 11 = 0")
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an index that aren't there."""
+    paths = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), "event_id")
+    return curation.missing_files(paths, paths.where("event_id % 11 <> 0"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,27 +435,47 @@ def journal_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.unclassified(_index(spark, sf_dir), _journals(spark, sf_dir, 4), _journals(spark, sf_dir, 14)).select("pmcid", "journal_id")
 
 
-@query("""
-SELECT *, CASE WHEN bad_fields > 0 THEN 'reject' WHEN cites > 10 AND ecites * 2 < cites THEN 'mixed' WHEN cites > 0 AND ecites = cites THEN 'unmixed' ELSE 'undecided' END AS verdict FROM (
-  SELECT source AS journal_id, sum(doc_id % 5)::BIGINT AS cites, sum(CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src3', 'src4', 'src5') THEN doc_id % 5 ELSE doc_id % 5 - doc_id % 2 * least(doc_id % 5, 1) END)::BIGINT AS ecites,
-    sum(CASE WHEN source IN ('src7', 'src8') AND doc_id % 50 = 7 THEN 1 ELSE 0 END)::BIGINT AS bad_fields FROM documents GROUP BY source)
-""")
+_JOURNALS = """
+SELECT *, CASE WHEN reject_fields > 0 THEN 'reject' WHEN cites > 10 AND ecites * 2 < cites THEN 'mixed' WHEN cites > 10 AND ecites = cites THEN 'unmixed' ELSE 'undecided' END AS verdict FROM (
+  SELECT source AS journal_id, count(*) AS total, count(*) FILTER (doc_id % 3 <> 0) AS local, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 9 = 1) AS skipped,
+    coalesce(sum(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 5 END), 0)::BIGINT AS cites,
+    coalesce(sum(CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN source IN ('src1', 'src2') THEN 0 WHEN source IN ('src3', 'src4', 'src5') THEN doc_id % 5 ELSE doc_id % 5 - doc_id % 2 * least(doc_id % 5, 1) END END), 0)::BIGINT AS ecites,
+    coalesce(sum(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 7 END), 0)::BIGINT AS odd_fields, coalesce(sum(CASE WHEN doc_id % 3 <> 0 AND source IN ('src7', 'src8') AND doc_id % 50 = 7 THEN 1 ELSE 0 END), 0)::BIGINT AS reject_fields FROM documents GROUP BY source)
+"""
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals of documents, a third of which have no file."""
+    doc, source = F.col("doc_id"), F.col("source")
+    there = doc % 3 != 0
+    k = doc % 5
+    ecites = F.when(source.isin("src1", "src2"), 0).when(source.isin("src3", "src4", "src5"), k).otherwise(k - doc % 2 * F.least(k, F.lit(1)))
+    bad = F.when(source.isin("src7", "src8") & (doc % 50 == 7), 1).otherwise(0)
+    facts = {"cites": k, "ecites": ecites, "odd_fields": doc % 7, "reject_fields": bad}
+    cases = table(spark, sf_dir, "documents").select(source.alias("journal_id"), there.alias("found"), F.when(doc % 9 == 1, "obituary").otherwise("research-article").alias("article_type"), *(F.when(there, c).alias(n) for n, c in facts.items()))
+    return curation.classify_journals(cases)
+
+
+@query(_JOURNALS)
 def journal_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on journals from sums over their articles."""
-    k = F.col("doc_id") % 5
-    ecites = F.when(F.col("source").isin("src1", "src2"), 0).when(F.col("source").isin("src3", "src4", "src5"), k).otherwise(k - F.col("doc_id") % 2 * F.least(k, F.lit(1)))
-    bad = F.when(F.col("source").isin("src7", "src8") & (F.col("doc_id") % 50 == 7), 1).otherwise(0)
-    cases = table(spark, sf_dir, "documents").select(F.col("source").alias("journal_id"), k.alias("cites"), ecites.alias("ecites"), bad.alias("bad_fields"))
-    return curation.classify_journals(cases)
+    return _classified(spark, sf_dir)
+
+
+@query(f"SELECT verdict AS list, journal_id AS value FROM ({_JOURNALS}) WHERE verdict <> 'undecided' AND journal_id IS NOT NULL UNION SELECT 'mixed', 'old' UNION SELECT 'reject', 'src7'")
+def journal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of journals, with what was on them before."""
+    known = {"mixed": spark.createDataFrame([("old",)], "value string"), "reject": spark.createDataFrame([("src7",)], "value string")}
+    return curation.journal_lists(_classified(spark, sf_dir), known)
 
 
 @query("""
-SELECT o_orderkey AS article_id, 1::BIGINT AS cites, 1::BIGINT AS ecites, 0::BIGINT AS bad_fields FROM orders
+SELECT o_orderkey AS article_id, 1::BIGINT AS cites, 1::BIGINT AS ecites, 0::BIGINT AS odd_fields, 0::BIGINT AS reject_fields FROM orders
 """)
 def citation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What journals are classified by, from scanned articles."""
-    found = curation.citation_cases(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
-    return found.select(_article_id(), "cites", "ecites", "bad_fields")
+    found = curation.citation_cases(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns="article_id path"))
+    return found.select(_article_id(), "cites", "ecites", "odd_fields", "reject_fields")
 
 
 @query("SELECT event_id AS article_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS article_type, CASE WHEN event_id % 3 <> 0 THEN 'J' || user_id END AS journal_id FROM events")
@@ -468,7 +522,7 @@ SELECT tag, sum(n)::BIGINT AS n FROM (
 """)
 def tag_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of elements by tag."""
-    return tallies.tags(nodes.scan_xml(corpora.nation_tables(spark, sf_dir)))
+    return tallies.tags(nodes.scan_xml(corpora.nation_tables(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("""
@@ -479,27 +533,27 @@ SELECT * FROM (SELECT unnest(['article', 'article', 'article', 'front', 'front',
 """)
 def parent_child_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of elements by parent and tag, and of parents with children."""
-    return tallies.parents_and_children(nodes.scan_xml(corpora.nation_tables(spark, sf_dir)))
+    return tallies.parents_and_children(nodes.scan_xml(corpora.nation_tables(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("""
 SELECT publication, category, tag, count(*) AS n FROM (
   SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'book' WHEN o_orderkey % 4 = 1 THEN 'journal' WHEN o_orderkey % 4 = 2 THEN 'webpage' ELSE 'other' END AS publication,
-    unnest(['title', 'date', 'date', 'page', 'page']) AS category, unnest(['source', 'year', 'date-in-citation', 'size', CASE WHEN o_orderkey % 3 = 0 THEN 'fpage' END]) AS tag FROM orders) WHERE tag IS NOT NULL GROUP BY ALL
+    unnest(['TITLE', 'DATE', 'DATE', 'PAGES', 'PAGES']) AS category, unnest(['source', 'year', 'date-in-citation', 'size', CASE WHEN o_orderkey % 3 = 0 THEN 'fpage' END]) AS tag FROM orders) WHERE tag IS NOT NULL GROUP BY ALL
 """)
 def tally_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of references by kind of publication and category."""
-    return tallies.citation_fields(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return tallies.citation_fields(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'pmid' ELSE 'doi' END AS pub_id_type, count(*) AS n FROM orders GROUP BY 1")
 def tally_pub_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.pub_id_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return tallies.pub_id_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("SELECT (['book', 'journal', 'webpage', 'thesis'])[o_orderkey % 4 + 1] AS publication_type, count(*) AS n FROM orders GROUP BY 1")
 def tally_publication_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.publication_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return tallies.publication_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("""
@@ -508,7 +562,7 @@ SELECT content_type, bits::INTEGER AS bits, count(*) AS n FROM (SELECT CASE WHEN
 """)
 def tally_date_in_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in citations by what they are and which parts they have."""
-    return tallies.date_bits(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return tallies.date_bits(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("""
@@ -519,13 +573,13 @@ SELECT kind, a, b, n FROM (SELECT unnest(['display', 'display', 'display-parent'
 """)
 def tally_mathml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where maths stands, and in how many articles."""
-    return tallies.mathml(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return tallies.mathml(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 @query("SELECT 'title' AS parent_tag, unnest(['italic', 'bold', 'TOTAL']) AS tag, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0")
 def tally_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements inside titles and other short texts."""
-    return tallies.titles(nodes.scan_xml(corpora.tally_articles(spark, sf_dir)))
+    return tallies.titles(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
 
 
 # ---- HTML pages
@@ -605,9 +659,7 @@ def to_jats_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS article_id, true AS same FROM part")
 def restyle_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normal form of the normal form is the same."""
-    once = articles.articles(corpora.part_references(spark, sf_dir)).select("article_id", F.col("xml").alias("content"))
-    twice = articles.articles(once.unionAll(once.limit(0))).select("article_id", "xml")
-    return twice.join(once, "article_id").select(_article_id(), F.col("xml").eqNullSafe(F.col("content")).alias("same"))
+    return articles.restyled_twice(corpora.part_references(spark, sf_dir)).select(_article_id(), "same")
 
 
 @query("""
@@ -619,6 +671,132 @@ def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(_article_id(), F.regexp_extract("html", "(<h1>.*</h1>)", 1).alias("heading"), (F.regexp_count("html", F.lit("<p>")) + F.regexp_count("html", F.lit("<h2>"))).alias("n_sections"))
 
 
+# ---- what the content models make of links, markup, formulas, front matter
+
+def _body(parsed: DataFrame) -> DataFrame:
+    """The HTML of bodies, and how many issues there are."""
+    return parsed.select(_article_id(), "body", F.size("issues").cast("long").alias("n_issues"))
+
+
+@query("""
+SELECT c_custkey AS article_id, '<p>' || CASE c_custkey % 8 WHEN 0 THEN '<a href="https://x.org/' || c_custkey || '" rel="external">t</a>' WHEN 2 THEN ''
+  WHEN 4 THEN '<a href="http://x.org/' || c_custkey || '" rel="external">t <strong>u</strong></a>' WHEN 5 THEN '<a href="#r' || c_custkey || '">t</a>' WHEN 7 THEN '<a href="#r' || c_custkey || '">t</a>' ELSE 't' END || '.</p>' || chr(10) AS body,
+  CASE WHEN c_custkey % 8 IN (1, 2, 3, 6) THEN 1 ELSE 0 END AS n_issues FROM customer
+""")
+def links_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links: those with a web address or a place in the text stay, others leave their text, those of another type nothing."""
+    return _body(articles.articles(corpora.linked(spark, sf_dir), fields="body issues"))
+
+
+@query("""
+SELECT array_to_string(['UnsupportedAttributeValue', 'ext-link', '{http://www.w3.org/1999/xlink}href', 'ftp://x.org/' || c_custkey], ',') AS condition, 1 AS n FROM customer WHERE c_custkey % 8 = 1
+UNION ALL SELECT 'UnsupportedAttributeValue,ext-link,ext-link-type,doi', count(*) FROM customer WHERE c_custkey % 8 = 2
+UNION ALL SELECT 'MissingAttribute,ext-link,{http://www.w3.org/1999/xlink}href', count(*) FROM customer WHERE c_custkey % 8 = 3
+UNION ALL SELECT 'UnsupportedAttributeValue,a,href,page/' || c_custkey, 1 FROM customer WHERE c_custkey % 8 = 6
+""")
+def link_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reported about links."""
+    found = articles.distinct_conditions(articles.articles(corpora.linked(spark, sf_dir), fields="issues"))
+    return found.groupBy(F.array_join("condition", ",").alias("condition")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey AS article_id, CASE p_partkey % 8 WHEN 0 THEN '<p><strong>' || p_name || '</strong><em>i<sub>s</sub></em></p>' WHEN 1 THEN '<p><samp>' || p_name || '</samp><sup>u</sup></p>' WHEN 2 THEN '<p><code>' || p_name || '</code><br>x</p>'
+  WHEN 3 THEN '<pre>a  ' || p_name || '</pre>' WHEN 4 THEN '<blockquote>' || chr(10) || '  <p>' || p_name || '</p>' || chr(10) || '</blockquote>' WHEN 5 THEN '<ol>' || chr(10) || '  <li>' || chr(10) || '    <p>' || p_name || '</p>' || chr(10) || '  </li>' || chr(10) || '</ol>'
+  WHEN 6 THEN '<p>' || p_name || '.</p>' ELSE '<p><strong>a' || p_name || '</strong></p>' END || chr(10) AS body, CASE p_partkey % 8 WHEN 6 THEN 1 WHEN 7 THEN 1 ELSE 0 END AS n_issues FROM part
+""")
+def markup_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline markup and blocks in HTML; unknown markup leaves its text."""
+    return _body(articles.articles(corpora.marked_up(spark, sf_dir), fields="body issues"))
+
+
+@query("""
+SELECT o_orderkey AS article_id, CASE o_orderkey % 5 WHEN 0 THEN '<p>a <span class="math inline">x&lt;y</span></p>' WHEN 1 THEN '<span class="math display">z</span>' WHEN 2 THEN '<p>a </p>' WHEN 3 THEN '<p>a <span class="math inline">w</span></p>' ELSE '<p>plain</p>' END || chr(10) AS body,
+  CASE WHEN o_orderkey % 5 = 2 THEN 1 ELSE 0 END AS n_issues, o_orderkey % 5 IN (0, 1, 3) AS bare_tex FROM orders
+""")
+def formulas_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas are shown as TeX; those without TeX are left out."""
+    parsed = articles.articles(corpora.formulas(spark, sf_dir), fields="body bare_tex issues")
+    return parsed.select(_article_id(), "body", F.size("issues").cast("long").alias("n_issues"), "bare_tex")
+
+
+@query("""
+SELECT o_orderkey AS article_id, (o_orderkey % 5 < 2)::INTEGER AS maths, (o_orderkey % 5 IN (0, 1, 3))::INTEGER AS tex FROM orders
+""")
+def formulas_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maths and TeX of the normal form."""
+    parsed = articles.articles(corpora.formulas(spark, sf_dir), fields="xml").select("article_id", F.col("xml").alias("content"))
+    found = nodes.scan_xml(parsed, columns="article_id tag")
+    n = lambda tag: F.count_if(F.col("tag") == tag).cast("int")
+    return found.groupBy(_article_id()).agg(n("{http://www.w3.org/1998/Math/MathML}math").alias("maths"), n("tex-math").alias("tex"))
+
+
+@query("""
+SELECT condition, count(*) AS n FROM (SELECT unnest(CASE p_partkey % 9
+  WHEN 1 THEN ['MissingChild,contrib,contrib-group,article-meta'] WHEN 2 THEN ['MissingChild,title-group,article-meta,front', 'MissingContent,article-title,title-group']
+  WHEN 3 THEN ['MissingChild,article-meta,front,article', 'MissingContent,article-title,title-group'] WHEN 4 THEN ['MissingAttribute,contrib,contrib-type'] WHEN 5 THEN ['UnsupportedAttributeValue,contrib,contrib-type,editor']
+  WHEN 6 THEN ['UnsupportedElement,b,contrib-id', 'InvalidOrcid,contrib-id,contrib'] WHEN 7 THEN ['ExcessElement,title-group,article-meta', 'UnsupportedAttributeValue,license_ref,content-type,odd']
+  WHEN 8 THEN ['MissingChild,front,article', 'MissingContent,article-title,title-group'] ELSE [] END) AS condition FROM part) GROUP BY condition
+""")
+def front_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reported about incomplete front matter: missing children, wrong attributes, repeated and unknown elements."""
+    found = articles.distinct_conditions(articles.articles(corpora.fronts(spark, sf_dir), fields="issues"))
+    return found.groupBy(F.array_join("condition", ",").alias("condition")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey AS article_id, CASE WHEN p_partkey % 3 = 1 THEN 'e' ELSE '' END || p_partkey AS page, CASE WHEN p_partkey % 3 = 2 THEN 1 ELSE 0 END AS n_issues FROM part
+""")
+def elocation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The electronic location of a cited work counts as its first page, if it has none."""
+    parsed = articles.articles(corpora.paged(spark, sf_dir), fields="refs issues")
+    return parsed.select(_article_id(), F.col("refs")[0]["fields"]["fpage"].alias("page"), F.size("issues").cast("long").alias("n_issues"))
+
+
+@query("""
+SELECT o_orderkey AS article_id, '<p>' || c(n, n) || '<span class="citation-tuple"> [' || list_aggregate(list_transform(range(1, n + 1), lambda i: '<a href="#r' || i || '">' || i || '</a>'), 'string_agg', ',') || ']</span></p>' || chr(10) AS body FROM (SELECT o_orderkey, o_orderkey % 9 + 2 AS n FROM orders)
+""".replace("c(n, n)", """'<span class="citation-tuple"> [<a href="#r' || n || '">' || n || '</a>]</span>'"""))
+def citations_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in HTML, in brackets, with those that a dash stands for."""
+    return articles.articles(corpora.range_articles(spark, sf_dir), fields="body").select(_article_id(), "body")
+
+
+# ---- editions and identifiers
+
+@query("SELECT p_partkey AS article_id FROM part WHERE p_partkey % 3 <> 0")
+def webstract_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editions without a stored web abstract: what an incremental run makes."""
+    key = F.col("p_partkey").cast("string").alias("article_id")
+    parts = table(spark, sf_dir, "part")
+    return webstracts.missing(parts.select(key), parts.where("p_partkey % 3 = 0").select(key)).select(_article_id())
+
+
+_TREE = """
+SELECT n_nationkey AS article_id, 'swh:1:dir:' || sha1(encode('tree ' || octet_length(entries)) || '\x00'::BLOB || entries) AS swhid FROM (
+  SELECT n_nationkey, encode('100644 article.xml') || '\x00'::BLOB || unhex(blob) || CASE WHEN n_nationkey % 2 = 0 THEN encode('40000 assets') || '\x00'::BLOB || unhex(inner_tree) ELSE ''::BLOB END AS entries FROM (
+    SELECT n_nationkey, sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS blob, sha1(encode('tree 36') || '\x00'::BLOB || encode('100644 name.txt') || '\x00'::BLOB || unhex(sha1('blob ' || octet_length(encode(n_name)) || chr(0) || n_name))) AS inner_tree
+    FROM (SELECT *, '<article>' || n_name || '</article>' AS text FROM nation)))
+"""
+
+
+@query(_TREE)
+def directory_swhids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of the folders of articles, with folders inside."""
+    found = values.directory_swhids(corpora.files_of_articles(spark, sf_dir))
+    return found.select(F.col("root").cast("long").alias("article_id"), "swhid")
+
+
+@query(f"SELECT article_id, substr(swhid, 1, 10) AS hash_scheme, substr(swhid, 11) AS hexhash, swhid AS commonmeta_id FROM ({_TREE})")
+def webstract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web abstracts and Commonmeta records that name the files they were made from."""
+    found = corpora.files_of_articles(spark, sf_dir)
+    raw = found.where("path = 'article.xml'").select(F.col("root").alias("article_id"), "content")
+    rows = webstracts.with_source(articles.articles(raw), values.directory_swhids(found))
+    facts = webstracts.facade(webstracts.webstracts(rows, html_refs=False)).select("article_id", "hash_scheme", "hexhash")
+    records = webstracts.commonmeta(rows, F.col("source")).select("article_id", F.get_json_object("commonmeta", "$.id").alias("commonmeta_id"))
+    return facts.join(records, "article_id").select(_article_id(), "hash_scheme", "hexhash", "commonmeta_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every article its references as CSL-JSON, in the order of citation."""
     return ref_csl_titles(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 nodes: one row per element, numbered in document order. `pre` and `post` span an element's descendants, `parent` is the
 parent's `pre`, `path` holds the tags from the root down to the element. `text` stands before the first child, `tail`
-after the element's end.
+after the element's end. `path` is null below LONGEST_PATH levels. What a tally asks of the parent (tag, attributes) is in the row, so it needs no join.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from marginalia.functions.tree import Node, read
 
 NODES = (
     "article_id string, pre int, post int, parent int, ord int, depth int, tag string, attrs map<string,string>, text string, tail string,"
-    " path array<string>, line int"
+    " path array<string>, line int, n_children int, parent_attrs map<string,string>"
 )
+#: Levels of a document down to which elements know their path.
+LONGEST_PATH = 1000
 #: Elements of HTML without an end, and those that end where another of the list begins.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_BEFORE = {"p": frozenset("p div ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 section article nav footer header main form hr".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -77,16 +79,18 @@ def rows(article_id: str, root: Node) -> Iterator[dict]:
         if node is None:  # an element has ended: parent is its row
             parent["post"] = len(out) - 1
             continue
-        path = [*above, node.tag]
-        row = {"article_id": article_id, "pre": len(out), "parent": None if parent is None else parent["pre"], "ord": order, "depth": depth, "tag": node.tag, "attrs": list(node.attrs.items()), "text": node.text, "tail": node.tail, "path": path, "line": node.line}
+        path = None if above is None or depth >= LONGEST_PATH else [*above, node.tag]
+        row = {"article_id": article_id, "pre": len(out), "parent": None if parent is None else parent["pre"], "ord": order, "depth": depth, "tag": node.tag, "attrs": list(node.attrs.items()), "text": node.text, "tail": node.tail, "path": path, "line": node.line, "n_children": len(node.children), "parent_attrs": None if node.parent is None or parent is None else list(node.parent.attrs.items())}
         out.append(row)
         todo.append((None, row, 0, 0, []))
         todo += [(c, row, i, depth + 1, path) for i, c in reversed(list(enumerate(node.children)))]
     return iter(out)
 
 
-def _scan(raw: DataFrame, id_col: str, content: F.Column, html: bool) -> DataFrame:
-    arrow = to_arrow_schema(T._parse_datatype_string(NODES), prefers_large_types=False)
+def _scan(raw: DataFrame, id_col: str, content: F.Column, html: bool, columns: str | None) -> DataFrame:
+    kinds = dict(x.strip().split(" ", 1) for x in NODES.split(", "))
+    schema = NODES if columns is None else ", ".join(f"{c} {kinds[c]}" for c in columns.split())
+    arrow = to_arrow_schema(T._parse_datatype_string(schema), prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,17 +104,17 @@ def _scan(raw: DataFrame, id_col: str, content: F.Column, html: bool) -> DataFra
                     found = []
             yield pa.RecordBatch.from_pylist(found, arrow)
 
-    return raw.select(F.col(id_col).cast("string").alias("id"), content.cast("binary").alias("content")).mapInArrow(run, NODES)
+    return raw.select(F.col(id_col).cast("string").alias("id"), content.cast("binary").alias("content")).mapInArrow(run, schema)
 
 
-def scan_xml(raw: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
-    """Elements of well-formed documents; others have none (the article operator reports them)."""
-    return _scan(raw, id_col, F.col(content_col), False)
+def scan_xml(raw: DataFrame, id_col: str = "article_id", content_col: str = "content", columns: str | None = None) -> DataFrame:
+    """Elements of well-formed documents; others have none (the article operator reports them). columns: names of the columns to make, all by default."""
+    return _scan(raw, id_col, F.col(content_col), False, columns)
 
 
-def scan_html(raw: DataFrame, id_col: str = "page_id", content_col: str = "html") -> DataFrame:
-    """Elements of HTML pages, under a root `#document`."""
-    return _scan(raw, id_col, F.col(content_col), True)
+def scan_html(raw: DataFrame, id_col: str = "page_id", content_col: str = "html", columns: str | None = None) -> DataFrame:
+    """Elements of HTML pages, under a root `#document`. columns: as for scan_xml."""
+    return _scan(raw, id_col, F.col(content_col), True, columns)
 
 
 def with_parent(nodes: DataFrame) -> DataFrame:
@@ -118,6 +122,11 @@ def with_parent(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("parent_tag", F.when(F.size("path") > 1, F.get("path", F.size("path") - 2)))
 
 
+def is_at(*path: str) -> F.Column:
+    """Whether an element is at exactly this path below the root."""
+    return F.slice("path", 2, 1 << 30) == F.array(*map(F.lit, path))
+
+
 def at_path(nodes: DataFrame, *path: str) -> DataFrame:
     """Elements at exactly this path below the root."""
-    return nodes.where(F.slice("path", 2, 1 << 30) == F.array(*map(F.lit, path))).where(F.size("path") == len(path) + 1)
+    return nodes.where(is_at(*path))

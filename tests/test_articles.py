@@ -179,6 +179,21 @@ def test_deep_markup_does_not_fail():
     assert article("<p>" + "<b>" * depth + "x" + "</b>" * depth + "</p>")["body"].count("<strong>") == depth
 
 
+@pytest.mark.parametrize(("before", "after"), [("<b>", "</b>"), ("<ul><li>", "</li></ul>"), ("<sec><title>t</title>", "</sec>"), ("<blockquote>", "</blockquote>")])
+def test_any_depth_gives_a_row(before, after):
+    """What is nested too deeply to be read is an issue, never an error."""
+    for depth in (300, 100_000):
+        row = article(before * depth + "x" + after * depth)
+        assert row["valid"] and "xml" in row or row["issues"][0]["condition"][0] == "Unreadable"
+    assert article(before * 300 + "x" + after * 300)["valid"]
+
+
+def test_only_wanted_values_are_made():
+    content = b"<article><front/><body><p>x</p></body></article>"
+    assert set(convert(content, frozenset(["issues"]))) == {"valid", "issues", "authors"}
+    assert convert(content, frozenset(["xml"]))["xml"] == convert(content)["xml"]
+
+
 def test_text_of_and_entities():
     root = tree.read(b"<a>x<!-- c --><b>y</b><?p i?>z&#233;</a>").root
     assert tree.text_of(root) == "xyzé"

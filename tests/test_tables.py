@@ -152,6 +152,60 @@ def test_files(spark, tmp_path):
     assert files.read_lines(spark, str(tmp_path / "missing")).count() == 0
 
 
+def test_deep_documents_do_not_fail_a_job(spark):
+    deep = "<article><body><p>" + "<b>" * 100_000 + "x" + "</b>" * 100_000 + "</p></body></article>"
+    raw = spark.createDataFrame([("1", deep.encode()), ("2", b"<article><front/><body><p>y</p></body></article>")], "article_id string, content binary")
+    rows = {r.article_id: r for r in articles.articles(raw).collect()}
+    assert not rows["1"].valid and rows["1"].issues[0].condition[0] == "Unreadable" and rows["2"].valid
+    found = nodes.scan_xml(raw).groupBy("article_id").agg(F.count("*").alias("n"), F.max(F.size("path")).alias("longest")).collect()
+    assert {r.article_id: r.n for r in found} == {"1": 100_003, "2": 4} and max(r.longest for r in found) == nodes.LONGEST_PATH
+
+
+def test_article_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a1", "<article>é\n</article>"), ("b2", "<x/>"), ("c3", None)], "article_id string, xml string")
+    webstracts.write_articles(rows.repartition(2), str(tmp_path / "out"))
+    webstracts.write_articles(rows.where("article_id = 'b2'"), str(tmp_path / "out"))
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"a1/article.xml": "<article>é\n</article>", "b2/article.xml": "<x/>"}
+    with pytest.raises(ValueError, match="names of folders"):
+        webstracts.write_articles(spark.createDataFrame([("a/b", "x")], "article_id string, xml string"), str(tmp_path / "no"))
+
+
+def test_lists_and_issue_pages(spark, tmp_path):
+    values_ = spark.createDataFrame([("b",), ("a",), ("b",)], "value string")
+    files.write_lines(values_, str(tmp_path / "list"))
+    assert [r.value for r in files.read_lines(spark, str(tmp_path / "list")).collect()] == ["a", "b"]
+    assert files.read_lines(spark, str(tmp_path / "none")).count() == 0
+    targets = spark.createDataFrame([("1", 5), ("2", 9)], "article_id string, modified long")
+    sources = spark.createDataFrame([("1", 7), ("2", 7), ("3", 7)], "article_id string, modified long")
+    assert sorted(r.article_id for r in files.up_to_date(targets, sources).collect()) == ["1", "3"]
+    parsed = articles.articles(spark.createDataFrame([("1", b"<article><front/><body><p><sc>x</sc></p></body></article>")], "article_id string, content binary"))
+    html = parsed.select(articles.html_issues(F.col("issues")).alias("h")).first().h
+    assert html.startswith("<ul>\n<li>") and "UnsupportedElement sc p (line 1)" in html and html.endswith("</ul>\n")
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from marginalia import __main__ as cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/article.xml").write_text("<article><front/><body><p>x</p></body></article>")
+    for kind in ("xml", "json", "html", "jats", "issues"):
+        assert cli.main([str(tmp_path / "in"), str(tmp_path / kind), "--to", kind]) == 0
+        assert len(spark.read.json(str(tmp_path / kind)).collect()) == 1
+    assert cli.main([str(tmp_path / "in"), str(tmp_path / "files"), "--to", "files"]) == 0
+    assert (tmp_path / "files/in/article.xml").read_text().startswith("<article>")
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert capsys.readouterr().out.startswith("marginalia ")
+
+
+def test_verdicts_on_journals(spark):
+    rows = [("few", True, "x", 10, 10, 0, 0), ("all", True, "x", 11, 11, 3, 0), ("half", True, "x", 12, 5, 0, 0), ("six", True, "x", 12, 6, 0, 0), ("bad", True, "news", 1, 1, 1, 1), ("gone", False, "x", None, None, None, None)]
+    cases = spark.createDataFrame(rows, "journal_id string, found boolean, article_type string, cites int, ecites int, odd_fields int, reject_fields int")
+    found = {r.journal_id: r for r in curation.classify_journals(cases).collect()}
+    assert {k: r.verdict for k, r in found.items()} == {"few": "undecided", "all": "unmixed", "half": "mixed", "six": "undecided", "bad": "reject", "gone": "undecided"}
+    assert (found["gone"].total, found["gone"].local, found["gone"].cites, found["bad"].skipped) == (1, 0, 0, 1)
+
+
 def test_stream(spark, tmp_path):
     from marginalia.streaming.ingest import ingest
 
