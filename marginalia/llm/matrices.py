@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks
+from marginalia.llm.shared import chunks, text_rows
 from marginalia.llm.tokenize import byte_level, default_byte_level_path
 
 #: Tokens of the pieces that are packed together; bounds a task's memory.
@@ -115,7 +115,7 @@ def pack_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         if pieces:
             yield block(next_row, pieces)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return text_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, _SCHEMA)
 
 
 def digest(rows: DataFrame) -> DataFrame:

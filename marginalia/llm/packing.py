@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks, materialise
+from marginalia.llm.shared import chunks, materialise, text_rows
 from marginalia.llm.tokenize import byte_level, default_byte_level_path
 
 #: Partitions whose last short windows are merged together.
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         return pa.Table.from_batches([rows.take()])
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = materialise(columns.mapInArrow(run, _SCHEMA), "packed", "leftover")
+    packed = materialise(text_rows(columns).mapInArrow(run, _SCHEMA), "packed", "leftover")
     merged = packed.where("leftover").select(_SCHEMA.replace(" long", "").replace(" binary", "").replace(" boolean", "").split(", ")).groupBy("lot").applyInArrow(merge, _SCHEMA)
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     return packed.where("not leftover").select(names).unionAll(merged.select(names))

@@ -1,34 +1,38 @@
-"""Token ids of texts in Python workers.
+"""Token ids of texts in Python workers, for byte-level BPE files of the tokenizers library.
 
-Texts are cut at places where the tokenizer cuts them anyway, each different piece is encoded once by the tokenizers
-library, and a text's ids are the pieces' ids in a row. The cache of pieces is bounded; what it drops is encoded again.
+The ids are those of the tokenizers library. Its merges are run by tiktoken, from the ranks in the same file, for every
+text on which both agree by construction: characters whose class (letter, number, white space, other) hasn't changed
+since Unicode 3.2, no added token, no run so long that tiktoken takes quadratic time. All other texts go to the tokenizers
+library, cut at places where it cuts them anyway; their pieces are encoded once each, and remembered up to a bound.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
-from functools import cache
+from functools import cache, cached_property
 from itertools import islice
 
-import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
-from marginalia.llm.words import SLICE, hashes
-
 #: Pieces of text kept per worker.
 CACHE = 100_000
-#: Pieces of plain texts kept per worker, in arrays: about 40 bytes each.
-KNOWN = 800_000
+#: The longest run of white space, or of other characters, that tiktoken gets.
+LONGEST_RUN = 400
 
 #: The characters with Unicode's White_Space property, which the tokenizer's pattern calls \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run of other characters with a space before it, or white space as the tokenizer's pattern splits it.
 _PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Letters followed by punctuation, two pieces for the tokenizer in any case.
-_LETTERS_THEN_MARKS = re.compile(r"( ?[A-Za-z]+)([.,;:!?|)\]]+)")
+#: Characters at which str.split() splits and the tokenizer's pattern doesn't.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Fixed value: how byte-level tokenizers split texts.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 class PieceCache:
@@ -57,117 +61,96 @@ def as_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-#: White space other than single spaces and line ends between words, in UTF-8.
-_ODD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_ODD_AFTER = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+def _class(char: str, unicode: object) -> str:
+    """What the tokenizer's pattern tells apart; empty for a character that isn't assigned."""
+    category = unicode.category(char)
+    if category == "Cn":
+        return ""
+    if re.match(f"[{_WS}]", char) or category[0] == "Z":
+        return "Z"
+    return category[0] if category[0] in "LN" else "other"
+
+
+@cache
+def unsettled() -> re.Pattern:
+    """Matches characters about whose class two versions of Unicode may differ, and all beyond 16 bits."""
+    settled = [(own := _class(chr(c), unicodedata)) != "" and own == _class(chr(c), unicodedata.ucd_3_2_0) for c in range(1 << 16)]
+    edges = [c for c in range((1 << 16) + 1) if (c < 1 << 16 and settled[c]) != (c > 0 and settled[c - 1])]
+    return re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=True)) + "]")
 
 
-def is_plain(text: bytes) -> bool:
-    """Whether single spaces and line ends are all the white space, each between words or, a space, at the beginning or, a line end, anywhere."""
-    if len(text) >= SLICE or text.endswith(b" "):
+def is_plain(text: str) -> bool:
+    """Whether tiktoken and the tokenizers library agree on a text without added tokens, and tiktoken is quick."""
+    if not text.isascii() and unsettled().search(text) or any(c in text for c in _SEPARATORS):
         return False
-    for odd in _ODD:
-        if odd in text:
-            return False
-    return not (b"\xe2\x80" in text and _ODD_AFTER.search(text))
+    runs = list(map(len, text.split()))
+    # white space that isn't the one character after a run makes up the longest run of it, at most
+    return max(runs, default=0) < LONGEST_RUN and len(text) - sum(runs) - len(runs) < LONGEST_RUN - 1
 
 
-class ByteLevelEncoder:
-    """A byte-level BPE tokenizer file of the tokenizers library, without special tokens.
+def byte_characters() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
 
-    Most texts have only single spaces and line ends between words. Their pieces (a word with the space before it, or a
-    line end) are found and hashed by numpy, and only one of each kind is looked up. A piece is known by two independent
-    hashes of 64 bits, its length and its first bytes.
-    """
+class ByteLevelEncoder:
+    """A byte-level BPE tokenizer file of the tokenizers library, as encode(..., add_special_tokens=False) uses it."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.parts = PieceCache(self._encode_parts)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model["type"] != "BPE":
+            raise ValueError(f"{path}: only byte-level BPE without a normaliser is supported")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens must match as they are")
+        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.cache = PieceCache(self._encode_pieces)
-        #: The known pieces, by ascending first hash: second hash, and the place of their ids in the table.
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.offsets, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.table = np.zeros(0, "<u4")
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        return [as_ids(e.ids) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.quick = self._quick(model, set(added))
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded by the first text that needs it."""
+        return Tokenizer.from_file(self.path)
+
+    @staticmethod
+    def _quick(model: dict, added: set[str]) -> tiktoken.Encoding | None:
+        """The same merges in tiktoken; None if the ids aren't the merges' ranks."""
+        vocab, bytes_of = model["vocab"], byte_characters()
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        n = len(bytes_of)
+        if model.get("ignore_merges") or model.get("dropout") or any(vocab.get(a + b) != n + i for i, (a, b) in enumerate(pairs)):
+            return None
+        ranks = {bytes(bytes_of[c] for c in piece): i for piece, i in vocab.items() if piece not in added}
+        return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        match = _LETTERS_THEN_MARKS.fullmatch
-        return self.parts.encode([m.groups() if (m := match(p)) else (p,) for p in pieces])
+        return [as_ids(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces that the tokenizers library encodes apart: added tokens, and what its pattern cuts between them."""
+        if self.added is None:
+            return _PIECE.findall(text)
+        return [p for i, part in enumerate(self.added.split(text)) for p in ([part] if i % 2 else _PIECE.findall(part))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; a null text has none."""
-        raw = [x.encode() if x else b"" for x in texts]
-        plain = [i for i, x in enumerate(raw) if x and is_plain(x)]
-        out = [b""] * len(texts)
-        for i, ids in zip(plain, self._encode_plain([raw[i] for i in plain]), strict=True):
-            out[i] = ids
-        rest = sorted({i for i, x in enumerate(raw) if x}.difference(plain))
-        for i, ids in zip(rest, self.cache.encode([_PIECE.findall(texts[i]) for i in rest]), strict=True):
+        out, rest = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.quick is None or not is_plain(text) or self.added is not None and self.added.search(text):
+                rest.append(i)
+            else:
+                out[i] = self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        for i, ids in zip(rest, self.cache.encode([self._pieces(texts[i]) for i in rest]), strict=True):
             out[i] = ids
         return out
 
-    def _encode_plain(self, raw: list[bytes]) -> list[bytes]:
-        """Ids of texts that fit a slice together or alone."""
-        out: list[bytes] = []
-        start = 0
-        while start < len(raw):
-            stop, size = start, 0
-            while stop < len(raw) and (stop == start or size + len(raw[stop]) + 1 <= SLICE):
-                size += len(raw[stop]) + 1
-                stop += 1
-            out += self._encode_slice(raw[start:stop])
-            start = stop
-        return out
-
-    def _encode_slice(self, raw: list[bytes]) -> list[bytes]:
-        joined = b"\n".join(raw)  # a line end between texts is taken out again below
-        data = np.frombuffer(joined, np.uint8)
-        line = data == 10
-        cut = line | (data == 32)
-        cut[1:] |= line[:-1]
-        cut[0] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(data))
-        first, second = hashes(data, starts, ends)
-        keys, at, which = np.unique(first, return_index=True, return_inverse=True)
-        table, offsets, sizes = self._ids_of(joined, starts[at], ends[at], keys, second[at])
-        if (second != second[at][which]).any():  # two pieces share the first hash, which hardly ever happens
-            return self.cache.encode([_PIECE.findall(x.decode()) for x in raw])
-        counts = sizes[which]
-        # the line ends between texts have no ids
-        between = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw])[:-1] - 1)
-        counts[between] = 0
-        total = np.cumsum(counts, dtype=np.int64)
-        flat = table[np.repeat(offsets[which] - (total - counts), counts) + np.arange(total[-1])]
-        bounds = [0, *total[between].tolist(), int(total[-1])]
-        return [flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def _ids_of(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A table of ids, and where in it the ids of the different pieces stand; keys ascend."""
-        at = np.searchsorted(self.keys, keys)
-        near = np.minimum(at, max(0, len(self.keys) - 1))
-        same = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        hit = same & (self.checks[near] == checks) if len(self.keys) else same
-        offsets, sizes = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
-        offsets[hit], sizes[hit] = self.offsets[near[hit]], self.sizes[near[hit]]
-        new = np.flatnonzero(~hit)
-        if not len(new):
-            return self.table, offsets, sizes
-        encoded = self._encode_pieces([joined[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-        sizes[new] = np.fromiter(map(len, encoded), np.int32, len(encoded)) >> 2
-        offsets[new] = len(self.table) + np.cumsum(sizes[new]) - sizes[new]
-        table = np.concatenate((self.table, np.frombuffer(b"".join(encoded), "<u4")))
-        # once full, the earliest stay: they are the most frequent
-        keep = new[~same[new]][: max(0, KNOWN - len(self.keys))]
-        if len(keep):
-            self.offsets, self.sizes = np.insert(self.offsets, at[keep], offsets[keep]), np.insert(self.sizes, at[keep], sizes[keep])
-            self.keys, self.checks = np.insert(self.keys, at[keep], keys[keep]), np.insert(self.checks, at[keep], checks[keep])
-            self.table = table
-        return table, offsets, sizes
-
 
 @cache
 def byte_level(path: str) -> ByteLevelEncoder:

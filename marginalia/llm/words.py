@@ -30,17 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of pieces of at most a slice of bytes; lengths and first bytes go into the second."""
-    up, down = _powers()
-    own = data.astype(np.uint64) + np.uint64(1)
-    out = []
-    for weights in (own, mix(own)):
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(weights * up[: len(data)], out=sums[1:])
-        out.append((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return mix(out[0]), mix(out[1] ^ data[starts].astype(np.uint64) << np.uint64(56))
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the runs that make up an array of integers; the second also knows lengths and first items."""
+    up, _ = _powers()
+    sizes = ends - starts
+    weights = up[(np.arange(len(codes)) - np.repeat(starts, sizes)) % SLICE]
+    own = codes.astype(np.uint64) + np.uint64(1)
+    grown = sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    first, second = (mix(np.add.reduceat(x * weights, starts) + grown) for x in (own, mix(own)))
+    return first, mix(second ^ own[starts] << np.uint64(32))
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
