@@ -70,9 +70,7 @@ def test_index_spares_work():
 
 @pytest.fixture(scope="module")
 def reference():
-    own = Tokenizer.from_file(tokenize.default_byte_level_path())
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(tokenize.default_byte_level_path())
 
 
 def random_texts(seed, n, longest=3000):
@@ -82,17 +80,25 @@ def random_texts(seed, n, longest=3000):
     return [rng.choice([" ", " ", "\n"]).join(make() for _ in range(rng.randint(0, rng.choice([5, 100, longest])))) for _ in range(n)]
 
 
-def test_byte_level_ids(reference, monkeypatch):
-    texts = ODD_TEXTS + random_texts(1, 100)
+def test_byte_level_ids(reference):
+    texts = ODD_TEXTS + random_texts(1, 100) + ["b " * 900, "a" * 20_000, " " * 20_000 + "x", "x" + "\x1c!" * 9000, "a\x85b", "x <|endoftext|>\n\n<|endoftext|> y", "𝒳 ok", "ꟊ new"]
     expected = [np.array(e.ids, "<u4").tobytes() for e in reference.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     encoder = tokenize.ByteLevelEncoder(tokenize.default_byte_level_path())
     assert encoder.encode(texts) == expected
     assert encoder.encode(texts[::-1]) == expected[::-1]
-    monkeypatch.setattr(tokenize, "KNOWN", 20)  # a full cache
-    small = tokenize.ByteLevelEncoder(tokenize.default_byte_level_path())
-    small.cache.limit = small.parts.limit = 5
-    assert small.encode(texts) == expected and small.encode(texts) == expected
-    assert len(small.keys) <= 20
+    assert encoder.quick is not None and np.frombuffer(encoder.encode(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
+    encoder.quick, encoder.cache.limit = None, 5  # all by the tokenizers library, with a full cache
+    assert encoder.encode(texts) == expected and encoder.encode(texts) == expected
+    assert len(encoder.cache.known) >= 5
+
+
+def test_settled_characters(reference):
+    """Whatever goes to tiktoken has the tokenizers library's ids: every such character next to a letter, a digit, a mark and white space."""
+    settled = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and not tokenize.unsettled().match(chr(c))]
+    assert len(settled) > 40_000
+    texts = [f"a{c}a 1{c}1 .{c}. {c}{c} {c}\n" for c in settled]
+    own = tokenize.byte_level(tokenize.default_byte_level_path()).encode(texts)
+    assert own == [np.array(e.ids, "<u4").tobytes() for e in reference.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def check_packing(rows, texts, reference, size=1024):
@@ -179,17 +185,40 @@ def test_matrices(spark, reference, tmp_path):
     assert matrices.pack_rows(documents(spark, [])).count() == 0
 
 
-def test_sentencepiece(spark):
+def test_sentencepiece(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 1000)  # in this process
     texts = ODD_TEXTS + random_texts(4, 100, 300)
     other = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
-    encoded = pieces.encode(documents(spark, texts))
-    rows = {r.doc_id: r for r in pieces.decode(encoded).collect()}
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    encoded = pieces.encode(docs)
+    rows = {r.doc_id: r for r in pieces.round_trip(docs).collect()}
+    back = {r.doc_id: r.text for r in pieces.decode(encoded).collect()}
+    own = pieces.Encoder(pieces.default_path())
+    again = own.encode(texts)  # in small blocks
     for i, text in enumerate(texts):
         ids = other.encode(text or "")
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == ids, text
-        assert rows[i].text == other.decode(ids), text
-    counts = encoded.groupBy().sum("n_compared", "n_differed").first()
-    assert counts[0] > 1000 and counts[1] == 0
+        assert rows[i].text == back[i] == other.decode(ids) == (text or "").replace("▁", " "), text
+        assert rows[i].n_differed == 0 and (rows[i].n_compared > 0) == bool(text)
+        assert again[i] == (rows[i].ids, rows[i].n_compared, 0)
+    # what was compared belongs to the text, not to the worker that had it
+    assert rows[3].n_compared == 1 and rows[6].n_compared == 2
+    assert pieces.digest(docs.limit(0)).count() == 0
+
+
+def test_units(monkeypatch):
+    """A full table of units, units of any length, and libraries that differ."""
+    texts = ["x" * 30_000, "日本" * 9000, "word " * 5000, "9" * 3000] + random_texts(5, 30, 200)
+    monkeypatch.setattr(pieces, "KNOWN", 7)
+    monkeypatch.setattr(pieces, "BLOCK", 500)
+    own = pieces.Encoder(pieces.default_path())
+    assert [np.frombuffer(x[0], "<u4").tolist() for x in own.encode(texts)] == own.other.encode(texts) and len(own.units) == 7
+    class Other:
+        encode = staticmethod(lambda texts, num_threads: [[0, 0, *([7] if "word" in x else own.tokenizer.encode(x[1:].replace(" ", "▁")).ids)] for x in texts])
+
+    odd = pieces.Encoder(pieces.default_path())
+    odd.other = Other
+    assert odd.encode(["a word", "word, no word", "a"])[0][2] == 1 and odd.encode(["a word", "word, no word", "a"])[1][1:] == (4, 2)
 
 
 def message(*parts):
@@ -225,11 +254,30 @@ def test_unigram_model(tmp_path):
     encoder = pieces.Encoder(str(path))
     assert encoder.model.kind == pieces.UNIGRAM and encoder.model.byte_fallback
     texts = ["ab", "aba ab", "b  a", "aé", "", "abab abba"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == other.encode(texts)
-    assert encoder.differed == 0
+    assert [np.frombuffer(x, "<u4").tolist() for x, _, _ in encoder.encode(texts)] == other.encode(texts)
+    assert sum(d for _, _, d in encoder.encode(texts)) == 0
     assert [encoder.model.decode(np.array(x, "<u4")) for x in other.encode(texts)] == texts
 
 
+def test_model_with_a_normaliser(tmp_path):
+    """Characters are mapped and extra spaces removed: whole texts are compared, and differing ones reported."""
+    spec = dict(pieces.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    charsmap = dict(pieces.fields(spec))[2]
+    vocabulary = [("<unk>", 0.0, 2), ("▁", -3.0, 1), *((c, -4.0, 1) for c in "abcdef19"), ("ab", -3.0, 1), ("▁ab", -4.0, 1)]
+    data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in vocabulary)
+    data += message((2, message((3, 1), (40, 0)))) + message((3, message((2, charsmap), (3, 1), (4, 1))))
+    path = tmp_path / "n.model"
+    path.write_bytes(data)
+    encoder = pieces.Encoder(str(path))
+    texts = ["ab  ab", " ab ", "ａｂ ①⑨", "ab\tab\nab", "", None, "xyz ab zz", "ﬁab"]
+    own = encoder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x, _, _ in own] == encoder.other.encode([t or "" for t in texts])
+    assert [n for _, n, _ in own] == [1, 1, 1, 1, 0, 0, 1, 1] and not any(d for _, _, d in own)
+    encoder.model.charsmap = b""
+    encoder.model.__dict__.pop("normalizer", None)
+    assert [d for _, _, d in encoder.encode(texts)] == [0, 0, 1, 1, 0, 0, 0, 1]
+
+
 def test_pipeline(spark, reference, tmp_path):
     """All stages on a few documents, against what each is to do with them."""
     rng = random.Random(11)
