@@ -23,12 +23,12 @@ def documents(spark, texts):
 
 
 def brute_top(rows, k=20):
-    usable = [(u, i, [int(np.floor(64.0 * x)) for x in v]) for u, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(u, i, [int(np.floor(64.0 * x)) for x in v]) for u, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for u, i, v in usable:
         if i % 20 == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for t, j, w in usable if t != u)[:k]
-            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(scores)]
+            out += [(i, rank + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, j) in enumerate(scores)]
     return sorted(out)
 
 
@@ -68,6 +68,39 @@ def test_index_spares_work():
     assert best.exact < 0.2 * best.seen
 
 
+@pytest.mark.parametrize("size", [2.0**20, 2.0**26, 2.0**40, 1e30, 1e150, 1e250])
+def test_components_of_any_size(spark, size):
+    """Scores that are close to each other, of components whose products pass 53 or 63 bits or don't fit a double: the order is exact."""
+    rng = np.random.default_rng(7)
+    for dims in (1, 3, 40):
+        base = rng.normal(size=dims) * size
+        vectors = np.floor(base * (1 + rng.integers(-3, 4, size=(300, dims)) * 2.0**-50))
+        vectors[::3] = np.floor(rng.normal(size=(100, dims)) * rng.choice([1, 3, size], size=(100, 1)))
+        best = topk.TopK(np.arange(6), np.arange(6), vectors[:6], 5)
+        for at in range(0, 300, 100):
+            names = ["share", "uids", "ids", "dims", "vectors", "segments", "posting_dims", "posting_rows", "impacts", "rests"]
+            ids = np.arange(at, at + 100).astype("<i8")
+            best.add(dict(zip(names, topk.index_block(0, ids, ids, vectors[at : at + 100]), strict=True)))
+        whole = [[int(x) for x in v] for v in vectors]
+        for q in range(6):
+            scores = {j: sum(a * b for a, b in zip(whole[q], whole[j], strict=True)) for j in range(300) if j != q}
+            assert best.members[best.rows == q].tolist() == sorted(scores, key=lambda j: (-scores[j], j))[:5], (dims, q)
+
+
+def test_topk_beyond_64_bits(spark):
+    rows = [(20 * i if i < 3 else 20 * i + 1, [float(x) * 1e12, 1.0]) for i, x in enumerate([3, -2, 5, 7, 7, -9, 1e-12, 0, 8])] + [(7, []), (9, [2.0e6])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(frame, "vec_id % 20 = 0", k=20, shares=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows)
+    assert [topk.ordered(x) for x in sorted([-(2**70), -5, 0, 3, 300, 2**64])] == sorted(topk.ordered(x) for x in [3, 0, 2**64, -5, 300, -(2**70)])
+
+
+def test_blocks_are_dealt_to_all_shares(spark):
+    stored = topk.quantised(spark.range(4000).selectExpr("id AS vec_id", "array(cast(id AS double)) AS embedding").repartition(32))
+    shares = [r.share for r in topk.build_index(stored, 16).select("share").collect()]
+    assert len(shares) >= 32 and max(map(shares.count, range(16))) <= min(map(shares.count, range(16))) + 1
+
+
 @pytest.fixture(scope="module")
 def reference():
     return Tokenizer.from_file(tokenize.default_byte_level_path())
