@@ -15,16 +15,17 @@ import re
 from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks, materialise
+from marginalia.llm.shared import chunks, materialise, text_rows, trim
 
 #: Labelled documents to fit on, about.
 MAX_TRAINING = 20_000
@@ -37,13 +38,20 @@ FULL_EVIDENCE = 20
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+_LETTER = r"\p{L}"
 _CACHE = 100_000
 
 
 def words_of(text: str | None) -> Counter:
-    """Counts of a text's runs of letters, lower-cased."""
-    return Counter(_WORD.findall((text or "").lower()))
+    """Counts of a text's runs of letters, lower-cased. Other numbers than digits, such as ² or Ⅷ, are no letters."""
+    lowered = (text or "").lower()
+    counts = Counter(_WORD.findall(lowered))
+    if not lowered.isascii():
+        for odd in [w for w in counts if not w.isalpha()]:
+            n = counts.pop(odd)
+            for part in "".join(c if c.isalpha() else " " for c in odd).split():
+                counts[part] += n
+    return counts
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -112,33 +120,42 @@ class Model:
         return at
 
 
+#: Different words, or n-grams, that a worker counts before it hands them on.
+TALLIED = 100_000
+
+
+def _tallied(entries: Iterator[tuple[tuple, int]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Sums of (key, n), in parts."""
+    tally: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*tally, strict=True)) or [()] * len(types)
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(tally.values(), pa.int64())], [*names, "n"])
+        tally.clear()
+        return batch
+
+    for key, n in entries:
+        tally[key] += n
+        if len(tally) >= TALLIED:
+            yield out()
+    yield out()
+    trim()
+
+
 def _counts(labelled: DataFrame) -> DataFrame:
-    """(lang, kind, gram, n): words (kind 0) and n-grams (their length) of labelled(text, lang)."""
-    schema = "lang string, kind int, gram string, n long"
-
-    def out(tally: dict[tuple[str, str], int]) -> pa.RecordBatch:
-        all_counts: Counter = Counter()
-        for (lang, word), k in tally.items():
-            all_counts[lang, 0, word] += k
-            for n in range(1, N_GRAM + 1):
-                for g in grams(word, n):
-                    all_counts[lang, n, g] += k
-        keys = list(all_counts)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(all_counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "kind", "gram", "n"])
+    """(lang, kind, gram, n): words (kind 0) and n-grams (their length) of labelled(text, lang). N-grams are made from the different words, after these are counted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
-        for batch in chunks(batches, "text"):
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                for word, k in words_of(text).items():
-                    tally[lang, word] += k
-            if len(tally) > 20_000:
-                yield out(tally)
-                tally.clear()
-        yield out(tally)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((text, lang) for b in chunks(batches, "text") for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True))
+        return _tallied((((lang, word), n) for text, lang in rows for word, n in words_of(text).items()), ["lang", "gram"], [pa.string()] * 2)
+
+    def ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True))
+        return _tallied((((lang, k, g), n) for lang, word, n in rows for k in range(1, N_GRAM + 1) for g in grams(word, k)), ["lang", "kind", "gram"], [pa.string(), pa.int32(), pa.string()])
 
-    return labelled.mapInArrow(run, schema).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    found = materialise(text_rows(labelled).mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
+    parts = found.mapInArrow(ngrams, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    return found.select("lang", F.lit(0).alias("kind"), "gram", "n").unionAll(parts)
 
 
 def share(sizes: list[int], limit: int) -> int:
@@ -152,7 +169,7 @@ def share(sizes: list[int], limit: int) -> int:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_training: int = MAX_TRAINING, max_entries: int = MAX_ENTRIES) -> Model:
-    """Fits a model on rows with a text and a language, on about max_training of them if there are more, at least one of each language. Of the words, and of the n-grams, the most frequent of each language are kept, max_entries in all."""
+    """Fits a model on rows with a text and a language, on about max_training of them if there are more, at least one of each language. Of the words, and of the n-grams, the most frequent of each language are kept, about max_entries in all, each with its counts in all languages. Null and empty texts and null languages teach nothing; a table without any gives a model without languages."""
     usable = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.where(F.col("text").rlike(_LETTER)).withColumn("place", F.xxhash64("id", "lang", "text"))
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()
@@ -166,7 +183,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     languages = sorted({lang for lang, kind in totals})
     each = max(1, max_entries // max(1, len(languages)))
     rank = F.row_number().over(Window.partitionBy("lang", F.col("kind") == 0).orderBy(F.desc("n"), "kind", "gram"))
-    kept = counted.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "kind", "gram", "n")
+    names_kept = counted.withColumn("rank", rank).where(F.col("rank") <= each).select("kind", "gram").distinct()
+    kept = counted.join(names_kept, ["kind", "gram"], "left_semi").select("lang", "kind", "gram", "n")
     column = {lang: i for i, lang in enumerate(languages)}
     names: tuple[dict[str, int], dict[str, int]] = ({}, {})
     places, counts = [], []
@@ -187,7 +205,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score), one row per row of docs, without a shuffle. A text that is null or has no letter is `und` with score 0. Other columns are ignored."""
+    """(doc_id, lang_pred, score), one row per row of docs, without a shuffle. A text that is null or has no letter is `und` with score 0; a text of any length is scored as a whole. Null and repeated ids are rows like others, other columns are ignored, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             found = [own.predict(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return text_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -204,14 +222,25 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language with at least min_score."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", min_score: float = 0.5, languages: Collection[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages (all of the model's by default) with at least min_score.
+
+    lang_col: a column whose nulls get the language found, if docs has it; None for none. Null texts and texts without
+    letters go; ids and other columns don't matter; repeated rows are judged alike; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    named = lang_col if lang_col in names and docs.schema[lang_col].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in chunks(batches, text_col):
-            found = (own.predict(x) for x in batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            found = [own.predict(x) for x in batch.column(text_col).to_pylist()]
+            keep = [lang != UNKNOWN and score >= min_score and (languages is None or lang in languages) for lang, score in found]
+            if named is not None:
+                at = names.index(named)
+                filled = pc.coalesce(batch.column(at), pa.array([lang for lang, _ in found], batch.schema.field(at).type))
+                batch = pa.RecordBatch.from_arrays([filled if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return text_rows(docs).mapInArrow(run, docs.schema)

@@ -95,6 +95,81 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs, empty).where("lang_pred = 'und'").count() == 4
 
 
+def plain_model(rows):
+    """Log frequencies by plain counting; words and n-grams of all languages, none left out."""
+    import math
+
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    counts = {}
+    for text, lang in rows:
+        for w in letters(text):
+            for k in range(5):
+                for g in [w] if k == 0 else [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)] if k > 1 else list(w):
+                    counts.setdefault(k, {}).setdefault(g, Counter())[lang] += 1
+    languages = sorted({lang for t, lang in rows if letters(t)})
+    sums = {k: Counter() for k in range(5)}
+    for k, own in counts.items():
+        for c in own.values():
+            sums[k].update(c)
+
+    def log(k, g):
+        return [math.log((counts[k][g][x] + 0.5) / (sums[k][x] + 0.5 * len(counts[k]))) for x in languages]
+
+    def of_word(w):
+        if w in counts[0]:
+            return log(0, w)
+        for k in range(4, 0, -1):
+            own = [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)] if k > 1 else list(w)
+            found = [log(k, g) for g in own if g in counts[k]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(languages)
+
+    def predict(text):
+        found = letters(text)
+        if not found:
+            return "und", 0.0
+        total = [sum(x) for x in zip(*map(of_word, found), strict=True)]
+        scaled = [t / len(found) * min(len(found), 20) for t in total]
+        best = total.index(max(total))
+        return languages[best], 1 / sum(math.exp(x - scaled[best]) for x in scaled)
+
+    return predict
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(t, lang) for lang in ("aa", "bb", "cc") for t in texts_of(rng, lang, 20)]
+    rows += [("the² Ⅷ x1y", "aa"), (None, "bb"), ("12", "cc"), ("der the eau", "bb"), ("der the eau", None)]
+    asked = [t for t, _ in rows] + ["² ½", "Ⅷ", "unger q", "日本", "thé_er 4x", "", "É" * 5000]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    plain = plain_model([(t, lang) for t, lang in rows if lang])
+    found = language.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), language.fit(docs)).collect()
+    for r in found:
+        lang, score = plain(asked[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, asked[r.doc_id]
+    assert [r.lang_pred for r in sorted(found) if r.doc_id in (len(rows), len(rows) + 1)] == ["und", "und"]
+
+
+def test_keep_identified(spark):
+    docs = spark.createDataFrame([(1, "the thing", "aa", 7), (2, "der ung", None, 7), (3, None, "aa", 7), (4, "² 12", "bb", 7), (2, "der ung", None, 7)], "doc_id long, text string, lang string, lang_pred int")
+    model = language.fit(spark.createDataFrame([(1, "the thing the", "aa"), (2, "der ung der", "bb")], "doc_id long, text string, lang string"))
+    kept = language.keep_identified(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.lang, r.lang_pred) for r in kept.collect()) == [(1, "aa", 7), (2, "bb", 7), (2, "bb", 7)]
+    assert [r.doc_id for r in language.keep_identified(docs, model, languages=["aa"]).collect()] == [1]
+    assert language.keep_identified(docs.limit(0), model).count() == 0
+    assert language.keep_identified(docs.drop("lang"), model).count() == 3
+
+
+def test_counts_of_all_languages_are_kept(spark):
+    """A word that is frequent in one language keeps its counts in the others, also where it is rare there."""
+    docs = spark.createDataFrame([(1, "a a a b b c", "x"), (2, "b b b c c a", "y")], "doc_id long, text string, lang string")
+    model = language.fit(docs, max_entries=2)
+    assert len(model.words) == 2
+    assert model.table[model.words.get("a")].tolist()[1] > -2.5  # one of six words, not none
+
+
 def test_backoff():
     import numpy as np
 
