@@ -5,9 +5,11 @@ Rules of lines, in this order:
 * navigation: separators stand between the words, or the line is a short menu phrase;
 * symbols: too many of the characters # * $ % & | < > for its words;
 * shouting: almost only capital letters, over several words, with marks of exclamation;
-* boilerplate: a known phrase of web pages makes up most of the line;
+* boilerplate: known phrases of web pages, in several languages, make up most of the line;
 * punctuation: a line of several words without any punctuation mark or digit, or of marks alone.
 
+Letters, capitals, marks and digits are Unicode's, in any script.
+
 A document is rejected if the base rule fails (under 50 words, or over half of the words in repeated windows of three),
 or if the removed lines hold more than MAX_LOST of its word characters.
 """
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks
+from marginalia.llm.shared import chunks, text_rows
 
 MIN_WORDS = 50
 #: Share of a document's word characters in removed lines from which on it is rejected.
@@ -30,9 +33,8 @@ MAX_LOST = 0.3
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
-_LETTER_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_LETTER = re.compile(r"[^\W\d_]")
-_MARK = re.compile(r"[.,;:!?…)\]\"'’”»\d]")
+_CAPITAL, _LETTER = regex.compile(r"\p{Lu}"), regex.compile(r"\p{L}")
+_ASCII_MARK, _MARK = re.compile(r"[!-/:-@\[-`{-~0-9]"), regex.compile(r"[\p{P}\p{Nd}$+<=>^`|~]")
 
 #: Words that stand between the entries of a menu.
 SEPARATORS = frozenset(["|", "||", "›", "»", ">", ">>", "•", "·", "→", "/"])
@@ -41,6 +43,12 @@ BOILERPLATE = (
     "accept all cookies", "all rights reserved", "back to top", "click here", "enable javascript", "follow us on", "log in",
     "privacy policy", "read more", "share this", "sign in", "sign up", "skip to content", "subscribe to our newsletter",
     "terms of service", "terms of use", "use of cookies", "we use cookies", "lorem ipsum",
+    "alle cookies akzeptieren", "alle rechte vorbehalten", "nach oben", "hier klicken", "javascript aktivieren", "folgen sie uns",
+    "datenschutzerklärung", "mehr lesen", "jetzt anmelden", "zum inhalt springen", "newsletter abonnieren", "nutzungsbedingungen",
+    "accepter tous les cookies", "tous droits réservés", "haut de page", "cliquez ici", "activer javascript", "suivez-nous",
+    "politique de confidentialité", "lire la suite", "se connecter", "aller au contenu", "abonnez-vous à notre newsletter", "mentions légales",
+    "aceptar todas las cookies", "todos los derechos reservados", "volver arriba", "haga clic aquí", "activar javascript", "síguenos en",
+    "política de privacidad", "leer más", "iniciar sesión", "saltar al contenido", "suscríbete a nuestro boletín", "términos de uso",
 )
 
 
@@ -54,13 +62,12 @@ def bad_line(words: list[str]) -> str | None:
     characters = len(line) - n + 1
     if len(_SYMBOL.findall(line)) * 10 > characters:
         return "symbols"
-    letters = len(_LETTER.findall(line))
-    if n >= 4 and letters >= 12 and line.count("!") * 4 >= n and len(_LETTER_UPPER.findall(line)) * 10 > letters * 7:
+    if n >= 4 and line.count("!") * 4 >= n and (letters := len(_LETTER.findall(line))) >= 12 and len(_CAPITAL.findall(line)) * 10 > letters * 7:
         return "shouting"
-    lowered = line.lower()
+    lowered = line.lower() if n <= 12 else ""
     if n <= 12 and sum(len(p) for p in BOILERPLATE if p in lowered) * 2 > characters:
         return "boilerplate"
-    if not letters or n >= 8 and not _MARK.search(line):
+    if not _LETTER.search(line) or n >= 8 and not _ASCII_MARK.search(line) and not _MARK.search(line):
         return "punctuation"
     return None
 
@@ -115,7 +122,8 @@ _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts and the verdict of every row of docs, without a shuffle.
 
-    A null or blank text has no words and fails. Null or repeated ids are rows like others; other columns are ignored.
+    A null or blank text has no words and fails; a text of any length is judged as a whole. Null or repeated ids are rows
+    like others; other columns are ignored; an empty table gives no rows.
     """
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
 
@@ -125,11 +133,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             arrays = [pa.array([x[n] for x in found], pa.bool_() if n in ("base_failed", "kept") else pa.int64()) for n in names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return text_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, _SCHEMA)
 
 
 def clean(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """The kept rows of docs, all columns, with the failing lines taken out of their texts; count_col, if there is such a column, gets the new number of characters."""
+    """The kept rows of docs, all columns, with the failing lines taken out of their texts; count_col, if there is such a column, gets the new number of characters.
+
+    Null and blank texts go; a text of any length is judged as a whole; ids and other columns don't matter, whatever their
+    names; repeated rows are judged alike; an empty table stays empty.
+    """
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +156,7 @@ def clean(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_ch
                 kept = kept.set_column(at, kept.schema.field(at), pa.array(list(map(len, texts)), kept.schema.field(at).type))
             yield kept
 
-    return docs.mapInArrow(run, schema)
+    return text_rows(docs).mapInArrow(run, schema)
 
 
 def sql() -> str:
@@ -167,10 +179,10 @@ WITH split AS (
   SELECT doc_id, len(own) AS n, len(list_filter(own, lambda x: list_contains({listed(sorted(SEPARATORS))}, x))) AS between_, array_to_string(own, ' ') AS line, lower(array_to_string(own, ' ')) AS lowered FROM cut
 ), measured AS (
   SELECT *, length(line) - n + 1 AS characters, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '\p{{L}}')) AS letters,
-    len(regexp_extract_all(line, '!')) AS marks, len(regexp_extract_all(line, '[A-ZÀ-ÖØ-Þ]')) AS upper_, {phrases} AS known FROM counted
+    len(regexp_extract_all(line, '!')) AS marks, len(regexp_extract_all(line, '\p{{Lu}}')) AS upper_, {phrases} AS known FROM counted
 ), judged AS (
   SELECT doc_id, characters, CASE WHEN between_ >= 2 AND between_ * 5 >= n THEN true WHEN symbols * 10 > characters THEN true WHEN n >= 4 AND letters >= 12 AND marks * 4 >= n AND upper_ * 10 > letters * 7 THEN true
-    WHEN n <= 12 AND known * 2 > characters THEN true ELSE letters = 0 OR n >= 8 AND NOT regexp_matches(line, '[.,;:!?…)\]"''’”»\d]') END AS bad FROM measured
+    WHEN n <= 12 AND known * 2 > characters THEN true ELSE letters = 0 OR n >= 8 AND NOT regexp_matches(line, '[\p{{P}}\p{{Nd}}$+<=>^`|~]') END AS bad FROM measured
 ), lost AS (
   SELECT doc_id, count(*) FILTER (bad) AS n_bad, coalesce(sum(characters) FILTER (bad), 0) AS chars FROM judged GROUP BY doc_id
 ), base AS (

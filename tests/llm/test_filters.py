@@ -45,6 +45,13 @@ PROSE = "The committee met on Tuesday to discuss the budget, and the roof.\n" +
         ("Short heading", None),
         ("NASA AND ESA AGREE ON MARS", None),
         ("see a/b | c for all the rest of it.", None),
+        ("एक दो तीन चार पाँच छह सात आठ।", None),
+        ("ایک دو تین چار پانچ چھ سات آٹھ۔", None),
+        ("一 二 三 四 五 六 七 八。", None),
+        ("एक दो तीन चार पाँच छह सात आठ", "punctuation"),
+        ("КУПИ СЕЙЧАС!! ЛУЧШАЯ ЦЕНА!! ТОЛЬКО СЕГОДНЯ!!", "shouting"),
+        ("Tous droits réservés", "boilerplate"),
+        ("Zum Inhalt springen", "boilerplate"),
     ],
 )
 def test_lines(line, rule):
