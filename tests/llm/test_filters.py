@@ -233,7 +233,7 @@ def test_licences(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licences string")
     rows = licences.scan(docs).orderBy("doc_id").collect()
     assert [r.matches for r in rows] == [["MIT", "proprietary"], ["MIT"], [], [], [], ["Apache-2.0"]]
-    assert [r.sentence_ids for r in rows] == ["DE", "GH", "", "", "", "CO"]
+    assert [r.sentence_ids for r in rows] == [[4, 5], [7, 8], [], [], [], [3, 15]]
     assert rows[0].licences == ["MIT", "proprietary"] and rows[0].n_sentences == 4
 
 
@@ -273,13 +273,51 @@ GPL = """    This program is free software: you can redistribute it and/or modif
     (at your option) any later version."""
 
 
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD3 = (
+    BSD
+    + """
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+)
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+LGPL = GPL.replace("program", "library").replace("the GNU General", "the GNU Lesser General")
+LGPL21 = GPL2.replace("the GNU General", "the GNU Lesser General").replace("version 2 ", "version 2.1 ")
+AGPL = GPL.replace("the GNU General", "the GNU Affero General")
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy."
+CC_BY_ND = "This work is licensed under a Creative Commons\nAttribution-NoDerivatives 4.0 International License."
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software."""
+GENUINE = {"MIT": MIT, "BSD-2-Clause": BSD, "Apache-2.0": APACHE, "GPL-3.0": GPL, "GPL-2.0": GPL2, "ISC": ISC, "BSD-3-Clause": BSD3, "MPL-2.0": MPL, "LGPL-3.0": LGPL, "LGPL-2.1": LGPL21, "AGPL-3.0": AGPL, "Unlicense": UNLICENSE, "CC-BY-ND-4.0": CC_BY_ND, "Zlib": ZLIB}
+
+
 def test_genuine_licences(spark):
-    """Notices as they are wrapped in files, and on one line; sentences of another paragraph or version aren't joined."""
-    texts = [MIT, BSD, APACHE, GPL, "Text.\nReleased under the\nMIT License. More.", "All rights\n\nreserved", GPL.replace("version 3", "version 2"), "Released. Under the MIT license"]
-    texts += [" ".join(t.split()) for t in (MIT, BSD, GPL)]
-    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.sentence_ids for r in rows] == ["GHI", "JKL", "COP", "MN", "D", "", "M", "", "GHI", "JKL", "MN"]
-    assert [r.licences for r in rows][:8] == [["MIT"], ["BSD-2-Clause"], ["Apache-2.0"], ["GPL-3.0"], ["MIT"], [], [], []]
+    """Notices as they are wrapped in files, on one line, and between other text; sentences of another paragraph aren't joined."""
+    expected = {}
+    for name, text in GENUINE.items():
+        for own in (text, "Some prose before it.\n\n" + text + "\n\nAnd after it.", "word " * 20_000 + "\n" + text):
+            expected[own] = [name]
+        if "#" not in text and "*" not in text:
+            expected[" ".join(text.split())] = [name]
+    expected |= {"Text.\nReleased under the\nMIT License. More.": ["MIT"], "All rights\n\nreserved": [], "Released. Under the MIT license": []}
+    rows = licences.scan(spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")).collect()
+    texts = list(expected)
+    for r in rows:
+        assert r.licences == expected[texts[r.doc_id]], texts[r.doc_id][-400:]
+    by_text = {texts[r.doc_id]: r.sentence_ids for r in rows}
+    assert by_text[MIT] == [7, 8, 9] and by_text[BSD3] == [10, 11, 12, 21] and by_text[GPL2] == [13, 14, 27] and by_text[APACHE] == [3, 15, 16]
+    assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_url_parts(spark):
