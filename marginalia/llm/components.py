@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import materialise
+from marginalia.llm.shared import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b), any integer type, direction free, repeats and loops allowed -> (node, root): root is the smallest node reachable. Nodes without an edge aren't returned; null ends are no edge."""
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = materialise(both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = edges.where("a is not null and b is not null and a <> b")
+    # both directions from one row, so that edges are computed once
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = materialise(both.select(turned).select("e.a", "e.b").distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
+    before = labels
     while True:
         by_root = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         lifted = labels.join(by_root, "root").select("node", "root", "up")
@@ -27,6 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = news.groupBy("node").agg(F.min("said").alias("said"))
         step = labels.join(low, "node").select("node", F.least("root", "said").alias("root"), (F.col("said") < F.col("root")).alias("moved"))
         step = materialise(step, "labels")
-        labels = step.select("node", "root")
+        release(before)
+        before, labels = step, step.select("node", "root")
         if step.where("moved").isEmpty():
+            release(both)
             return labels
