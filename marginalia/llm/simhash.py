@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.components import connected_components
 from marginalia.llm.golay import near_codewords
-from marginalia.llm.shared import as_bytes, chunks, materialise
+from marginalia.llm.shared import as_bytes, chunks, materialise, text_rows, unused
 
 #: Keys with more different fingerprints than this are solved by the words around them.
 MAX_BUCKET = 32
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(x, shingle, seed) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))).mapInArrow(run, "doc_id long, fp long")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,5 +160,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
     # the join and the removal of repeated rows share one partitioning
-    kept = docs.join(stay, id_col, "left_semi").withColumn("_digest", F.xxhash64(text_col)).dropDuplicates([id_col, "_digest"]).drop("_digest")
+    digest = unused(docs, "digest")
+    kept = docs.join(stay, id_col, "left_semi").withColumn(digest, F.xxhash64(text_col)).dropDuplicates([id_col, digest]).drop(digest)
     return kept.select(docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

@@ -18,25 +18,27 @@ document, so that a passage which a third of all documents share makes no hot bu
 
 from __future__ import annotations
 
-import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import compress
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import as_bytes, chunks, materialise, new_path, partitions, remove
+from marginalia.llm.shared import BROADCAST_ROWS, as_bytes, chunks, materialise, new_path, partitions, release, remove, text_rows, unused, unzipped, zipped
 from marginalia.llm.words import first_minimum, rolling, word_hashes
 
 WINDOW, GRAM = 13, 6
-#: Bytes of text that make one piece of the input.
-PIECE = 8 << 20
+#: Bytes of text that make one piece of the input, and bytes for each of which the index has a bucket.
+PIECE, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Bytes of places that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 _BLOCK = "bucket int, kind int, keys binary, more binary, docs binary, places binary"
 _NAMES = ["bucket", "kind", "keys", "more", "docs", "places"]
@@ -67,8 +69,8 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    """Buckets of documents: fewer than those of hashes, so that not every two of them share a row."""
-    return _bucket(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), max(min(n, 64), n // 8))
+    """Buckets of documents. Each bucket of hashes has a row for each of them, so there are fewer where there are many: rows grow with n * sqrt(n), not with its square."""
+    return _bucket(docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), min(n, 16 * isqrt(n)))
 
 
 class Blocks:
@@ -188,77 +190,114 @@ def _by_doc(table: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """A log-structured index in a folder of its own. Batches must come in ascending order of their ids: a document of a later batch never has a smaller id than one of an earlier batch."""
+    """A log-structured index in a folder of its own. Batches must come in ascending order of their ids: a document of a later batch never has a smaller id than one of an earlier batch.
+
+    What the index holds is said by its newest manifest, a file of its own: the runs of each level, the number of buckets
+    and the largest id. A folder that has one is opened and goes on from there, also in another session.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4, n_buckets: int | None = None) -> None:
         self.spark, self.path, self.fanout = spark, path or new_path(spark, "index"), fanout
-        self.n_buckets = n_buckets or partitions(spark)
         self.runs: tuple[list[str], list[str]] = ([], [])
-        self._made = 0
+        self.n_buckets, self.largest, self._made = n_buckets or partitions(spark), None, 0
+        if (state := self._newest()) is not None:
+            self.runs = tuple(state["runs"])
+            self.n_buckets, self.largest, self._made = state["n_buckets"], state["largest"], state["made"]
+
+    def _files(self) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def _newest(self) -> dict | None:
+        store, path = self._files()
+        folder = path(f"{self.path}/manifests")
+        if not store.exists(folder):
+            return None
+        names = sorted(f.getPath().getName() for f in store.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{names[-1]}").first()[0]) if names else None
+
+    def _note(self) -> None:
+        """Writes a new manifest; readers take it from the moment that it has its name."""
+        self._made += 1
+        state = {"runs": self.runs, "n_buckets": self.n_buckets, "largest": self.largest, "made": self._made}
+        store, path = self._files()
+        draft = path(f"{self.path}/manifests/{self._made:09d}.draft")
+        out = store.create(draft, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        store.rename(draft, path(f"{self.path}/manifests/{self._made:09d}.json"))
 
     def _read_runs(self, level: int) -> list[DataFrame]:
-        return [self.spark.read.schema(_BLOCK).parquet(p) for p in self.runs[level]]
+        return [self.spark.read.schema(_BLOCK).parquet(p).select(_NAMES) for p in self.runs[level]]
 
-    def _write_run(self, level: int, blocks: DataFrame) -> None:
+    def _new_run(self, level: int) -> str:
         self._made += 1
-        path = f"{self.path}/level{level}/run{self._made:06d}"
-        blocks.write.option("compression", "zstd").parquet(path)
-        self.runs[level].append(path)
+        return f"{self.path}/level{level}/run{self._made:09d}"
 
     def _merged(self, level: int, blocks: DataFrame, merge: Callable, keep: bool) -> DataFrame:
         """Merge-joins new blocks with the runs of a level; adds a run; returns the replies by document."""
-        n = self.n_buckets
+        n, path = self.n_buckets, self._new_run(level)
         every = reduce(DataFrame.unionAll, self._read_runs(level), blocks)
-        merged = materialise(every.groupBy("bucket").applyInArrow(lambda t: merge(t, n), _BLOCK), "merged", "kind")
+        # one pass writes both: the run stays where it is, the replies are read once
+        every.groupBy("bucket").applyInArrow(lambda t: merge(t, n), _BLOCK).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+        found = self.spark.read.schema(_BLOCK).parquet(path)
+        replies = found.where(f"kind = {_REPLIES}").select("bucket", "docs", "places")
+        out = materialise(replies.groupBy("bucket").applyInArrow(_by_doc, "_doc long, _places binary"), "replies")
+        for kind in (_REPLIES, *[_RUN] * (not keep)):
+            remove(self.spark, f"{path}/kind={kind}")
         if keep:
-            self._write_run(level, merged.where(f"kind = {_RUN}").select(_NAMES))
-        replies = merged.where(f"kind = {_REPLIES}").select("bucket", "docs", "places")
-        return materialise(replies.groupBy("bucket").applyInArrow(_by_doc, "_doc long, _places binary"), "replies")
+            self.runs[level].append(path)
+        return out
 
     def ingest(self, batch: DataFrame, earlier: DataFrame | None = None, keep: bool = True) -> DataFrame:
-        """Adds batch(doc_id, text as binary) and returns (_doc, _places): the first words of the windows of each document that an earlier document has, as unsigned 32-bit integers. earlier: documents of former batches, read again where needed. keep: whether the batch's runs are written, which the last batch of a closed corpus doesn't need."""
-        shared = self._merged(0, batch.mapInArrow(_anchor_blocks(self.n_buckets), _BLOCK), _merge_anchors, keep)
+        """Adds batch(doc_id, text as binary) and returns (_doc, _places): the first words of the windows of each document that an earlier document has, as unsigned 32-bit integers; a document may have several rows. earlier: documents of former batches, of which those are read again that share an anchor with the batch and shared it with none before. keep: whether the batch's runs are written, which the last batch of a closed corpus doesn't need."""
+        ends = batch.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        if ends.low is not None and self.largest is not None and ends.low < self.largest:
+            raise ValueError(f"document {ends.low} comes after {self.largest}; batches must have ascending ids")
+        shared = self._merged(0, text_rows(batch).mapInArrow(_anchor_blocks(self.n_buckets), _BLOCK), _merge_anchors, keep)
         texts = batch if earlier is None else batch.unionAll(earlier)
         asked = with_places(texts, shared, "inner")
         repeats = self._merged(1, asked.mapInArrow(_window_blocks(self.n_buckets), _BLOCK), _merge_windows, keep)
-        if keep and len(self.runs[0]) > self.fanout:
-            self.compact()
+        release(shared)
+        if ends.high is not None:
+            self.largest = ends.high if self.largest is None else max(self.largest, ends.high)
+        if keep:
+            self._note()
+            if len(self.runs[0]) > self.fanout:
+                self.compact()
         return repeats
 
     def compact(self) -> None:
         """Merges all runs of each level into one, then deletes them."""
+        gone = []
         for level in (0, 1):
             old = list(self.runs[level])
             if len(old) > 1:
                 blocks = reduce(DataFrame.unionAll, self._read_runs(level)).withColumn("level", F.lit(level))
-                self.runs[level].clear()
-                self._write_run(level, blocks.groupBy("bucket").applyInArrow(_compact, _BLOCK))
-                for path in old:
-                    remove(self.spark, path)
+                path = self._new_run(level)
+                blocks.groupBy("bucket").applyInArrow(_compact, _BLOCK).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+                self.runs[level][:] = [path]
+                gone += old
+        self._note()  # only what no manifest names any more is deleted
+        for path in gone:
+            remove(self.spark, path)
 
     def delete(self) -> None:
         remove(self.spark, self.path)
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Joins (doc_id, text) with (_doc, _places). Texts are shuffled compressed."""
-    zipped = texts.mapInArrow(_zip, "doc_id long, zipped binary")
-    return zipped.join(places, zipped["doc_id"] == places["_doc"], how).withColumnRenamed("zipped", "text")
-
+    """Joins (doc_id, text) with stored (_doc, _places). If the places are few and small, each machine gets them; else texts are shuffled, compressed."""
+    few = _few(places, "_places")
+    texts = texts if few else zipped(texts)
+    places = F.broadcast(places) if few else places
+    return text_rows(texts.join(places, texts["doc_id"] == places["_doc"], how))
 
-#: What a compressed text begins with; no UTF-8 text does.
-_ZIPPED = b"\xff"
 
-
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_dict_id=False)
-    for batch in chunks(batches, "text"):
-        zipped = [None if x is None else _ZIPPED + press.compress(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(zipped, pa.binary())], ["doc_id", "zipped"])
-
-
-def _unzip(text: bytes | None) -> bytes | None:
-    return zstandard.decompress(text[1:]) if text and text[:1] == _ZIPPED else text
+def _few(places: DataFrame, column: str) -> bool:
+    """Whether stored places are small enough for a broadcast."""
+    size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("bytes")).first()
+    return size.n <= BROADCAST_ROWS // 4 and size.bytes <= BROADCAST_BYTES
 
 
 def _anchor_blocks(n_buckets: int) -> Callable:
@@ -301,7 +340,7 @@ def _window_blocks(n_buckets: int) -> Callable:
         for batch in chunks(batches, "text", PIECE):
             digests, owners, places = [], [], []
             for doc, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("_places"), strict=True):
-                raw = _unzip(text.as_py())
+                raw = unzipped(text.as_py())
                 keys, _ = anchors(raw)
                 at = np.flatnonzero(np.isin(keys.astype(np.uint32), np.frombuffer(asked.as_py(), np.uint32)))
                 if len(at):
@@ -343,29 +382,37 @@ def covered(places: bytes | None, n_words: int) -> np.ndarray:
     return np.cumsum(change)[:n_words] > 0
 
 
-def batches_of(docs: DataFrame, id_col: str, n: int) -> list[F.Column]:
-    """Conditions that divide the rows into n batches of ascending ids, about equally large."""
-    cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
+def batches_of(docs: DataFrame, id_col: str, n: int) -> tuple[list[F.Column], int]:
+    """Conditions that divide the rows into n batches of ascending ids, about equally large; and the bytes of all texts."""
+    found = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 1000).alias("cuts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
+    cuts = sorted(set(found.cuts or [])) if n > 1 else []
     lows, highs = [None, *cuts], [*cuts, None]
     every = []
     for low, high in zip(lows, highs, strict=True):
         c = F.col(id_col).isNotNull()
         c = c if low is None else c & (F.col(id_col) > low)
         every.append(c if high is None else c & (F.col(id_col) <= high))
-    return every
+    return every, found.bytes
 
 
-def repeats(docs: DataFrame, n_batches: int = 2, fanout: int = 4) -> DataFrame:
-    """(_doc, _places) of all documents(doc_id, text as binary), through an index that takes them in batches of ascending ids and is deleted in the end."""
-    index, found, before = FingerprintIndex(docs.sparkSession, fanout=fanout), [], None
-    conditions = batches_of(docs, "doc_id", n_batches)
-    for i, condition in enumerate(conditions):
+def repeats(docs: DataFrame, n_batches: int = 2, fanout: int = 1) -> DataFrame:
+    """(_doc, _places) of all documents(doc_id, text as binary), each once, through an index that takes them in batches of ascending ids, is compacted when it has more than `fanout` runs, and deleted in the end."""
+    conditions, size = batches_of(docs, "doc_id", n_batches)
+    spark = docs.sparkSession
+    index = FingerprintIndex(spark, fanout=fanout, n_buckets=max(partitions(spark), ceil(size / BUCKET_BYTES)))
+    found, before = [], None
+    for condition in conditions:
         batch = docs.where(condition)
-        found.append(index.ingest(batch, before, keep=i + 1 < len(conditions)))
+        found.append(index.ingest(batch, before))
         before = batch if before is None else before.unionAll(batch)
     index.delete()
-    return reduce(DataFrame.unionAll, found)
+    if len(found) == 1:
+        return found[0]
+    # a later batch may answer for an earlier document again
+    each = reduce(DataFrame.unionAll, found).groupBy("_doc").agg(F.collect_list("_places").alias("_all"))
+    united = materialise(each.select("_doc", F.expr("aggregate(_all, cast('' AS binary), (done, x) -> concat(done, x))").alias("_places")), "repeats")
+    release(*found)
+    return united
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = 2) -> DataFrame:
@@ -375,7 +422,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     UTF-8 bytes. Words are runs of other bytes than ASCII white space. A null text has no words. A row with a null id
     loses nothing and makes no other lose anything. Rows with equal ids are one document for the order (none of them makes
     another lose anything), and what any of them loses is taken from all at the same places only if the texts are equal;
-    with different texts of one id, places of windows are united. Other columns are ignored; an empty table gives none.
+    with different texts of one id, places of windows are united. Texts may have any length. Other columns are ignored; an
+    empty table gives none.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
 
@@ -383,7 +431,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in chunks(batches, "text"):
             n_words, n_removed, kept = [], [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist(), strict=True):
-                words = (_unzip(text) or b"").split()
+                words = (unzipped(text) or b"").split()
                 n_words.append(len(words))
                 if places:
                     gone = covered(places, len(words))
@@ -401,16 +449,24 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", n_batches: int = 2) -> DataFrame:
-    """docs, all columns, without repeated words: a text that loses some has its other words joined by one space; rows that lose all are gone. Texts that lose nothing stay as they are."""
+    """docs, all columns, without repeated words: a text that loses some has its other words joined by one space; rows that lose all are gone.
+
+    Texts that lose nothing stay as they are, also null and empty ones and rows with a null id; rows with equal ids are one
+    document for the order. count_col, if docs has it, gets the new number of characters where a text changes. Texts may
+    have any length; other columns don't matter, whatever their names; an empty table stays empty.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
+    names, lost = docs.columns, unused(docs, "places")
     found = repeats(texts, n_batches)
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
-    names = docs.columns
+    places = found.select(F.col("_doc").alias(unused(docs, "doc")), F.col("_places").alias(lost))
+    few, owner = _few(found, "_places"), places.columns[0]
+    joined = docs.join(F.broadcast(places) if few else places, F.col(id_col).cast("long") == F.col(owner), "left").drop(owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
             texts, keep = [], []
-            for text, places in zip(batch.column(text_col).to_pylist(), batch.column("_places").to_pylist(), strict=True):
+            asked = batch.column(lost).to_pylist()
+            for text, places in zip(batch.column(text_col).to_pylist(), asked, strict=True):
                 if places and text:
                     words = text.encode().split()
                     text = b" ".join(compress(words, (~covered(places, len(words))).tolist())).decode()
@@ -422,11 +478,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             arrays[names.index(text_col)] = pa.array(texts, batch.column(text_col).type)
             if count_col in names:
                 at = names.index(count_col)
-                changed = [len(t) if p and t is not None else c for t, p, c in zip(texts, batch.column("_places").to_pylist(), arrays[at].to_pylist(), strict=True)]
+                changed = [len(t) if p and t is not None else c for t, p, c in zip(texts, asked, arrays[at].to_pylist(), strict=True)]
                 arrays[at] = pa.array(changed, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return text_rows(joined).mapInArrow(run, docs.schema)
 
 
 #: The digest over `documents` for DuckDB.

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marginalia.llm import golay, simhash, substrings
+from marginalia.llm import golay, jaccard, simhash, substrings
 from marginalia.llm.components import connected_components
 from marginalia.llm.words import first_minimum, word_hashes
 
@@ -171,6 +171,72 @@ def test_index_is_compacted(spark):
         assert substrings.covered(places, n).sum() == gone
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    """A folder with a manifest goes on where it was, in another object; batches in the wrong order are refused."""
+    rng = random.Random(4)
+    texts = passages(rng)
+    docs = frame(spark, texts).select("doc_id", F.col("text").cast("binary").alias("text"))
+    path, found, before = str(tmp_path / "index"), {}, None
+    for at in range(0, len(texts), 60):
+        batch = docs.where(F.col("doc_id").between(at, at + 59))
+        for r in substrings.FingerprintIndex(spark, path, fanout=2, n_buckets=3).ingest(batch, before).collect():
+            found[r._doc] = found.get(r._doc, b"") + r._places
+        before = batch if before is None else before.unionAll(batch)
+    index = substrings.FingerprintIndex(spark, path, n_buckets=99)
+    assert index.n_buckets == 3 and 1 <= len(index.runs[0]) <= 2 and index.largest == len(texts) - 1
+    for i, n, gone, _ in removed(texts, range(len(texts))):
+        assert substrings.covered(found.get(i), n).sum() == gone
+    with pytest.raises(ValueError, match="ascending"):
+        index.ingest(docs.where("doc_id = 3"))
+    index.delete()
+    assert substrings.FingerprintIndex(spark, path).runs == ([], [])
+
+
+@pytest.mark.parametrize("n_batches", [2, 5])
+def test_clashing_hashes(spark, n_batches, monkeypatch, tmp_path):
+    """Anchors that all agree in the bits that replies carry: one row per document, and the right words removed."""
+    (tmp_path / "clash.py").write_text("import numpy as np\nfrom marginalia.llm import substrings\nreal = substrings.anchors\ndef anchors(text):\n    keys, at = real(text)\n    return keys & np.uint64(0xFFFFFFFF00000000), at\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    import clash
+
+    real = substrings._anchor_blocks, substrings._window_blocks
+
+    def clashing(make):
+        def made(n):
+            run = make(n)
+
+            def patched(batches):
+                import sys
+
+                sys.path.insert(0, str(tmp_path))
+                import clash as own
+
+                substrings_ = __import__("marginalia.llm.substrings", fromlist=["x"])
+                before, substrings_.anchors = substrings_.anchors, own.anchors
+                try:
+                    yield from run(batches)
+                finally:
+                    substrings_.anchors = before
+
+            return patched
+
+        return made
+
+    assert clash.real is substrings.anchors
+    monkeypatch.setattr(substrings, "_anchor_blocks", clashing(real[0]))
+    monkeypatch.setattr(substrings, "_window_blocks", clashing(real[1]))
+    texts = passages(random.Random(3))
+    rows = substrings.digest(substrings.deduplicate(frame(spark, texts), n_batches=n_batches)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removed(texts, range(len(texts)))
+
+
+def test_places_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    texts = passages(random.Random(6))
+    rows = substrings.digest(substrings.deduplicate(frame(spark, texts))).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removed(texts, range(len(texts)))
+
+
 def test_deduplicate_with_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = substrings.deduplicate(frame(spark, [text, text, text, text + " more"], [None, 4, 4, 9])).collect()
@@ -185,6 +251,17 @@ def test_without_repeats(spark):
     assert rows == {1: (text, 99), 3: ("and more", 8), 4: (None, 99)}
 
 
+def test_stages_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, 1, "a", "b"), (2, text + " more", 2, "c", "d"), (2, text + " more", 2, "c", "d")], "doc_id long, text string, digest int, places string, doc string")
+    for names in (["doc_id", "text", "digest", "places", "doc"], ["doc_id", "text", "_digest", "_places", "_doc"], ["doc_id", "text", "component_id", "fp", "d"]):
+        own = docs.toDF(*names)
+        for stage in (substrings.without_repeats, simhash.drop_near_duplicates, jaccard.drop_near_duplicates):
+            kept = stage(own)
+            assert kept.columns == names and sorted({r.doc_id for r in kept.collect()})[0] == 1
+            assert stage(own.limit(0)).count() == 0
+
+
 def test_words():
     texts = [b"a bb  ccc\n d\te", b"", b"x" * 5_000_000 + b" y", b" ".join(b"word%d" % i for i in range(500_000))]
     for text in texts:
