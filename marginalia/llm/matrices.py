@@ -80,7 +80,7 @@ def pack_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     Returns (row_id, ids, position_ids, cu_seqlens, doc_ids, starts): ids and position_ids as little-endian unsigned
     32-bit integers, `size` of them (padding has pad_id and position 0); cu_seqlens from 0 to the tokens in use; for each
     segment its document and the document's tokens before it. A document is its ids and end_id. A null text is an empty
-    one; null and repeated ids are kept as they are; other columns are ignored; an empty table gives no rows.
+    one, a text of any length is kept whole; null and repeated ids are kept as they are; other columns are ignored; an empty table gives no rows.
     """
     path = tokenizer or default_byte_level_path()
     end = np.array([end_id], "<u4").tobytes()

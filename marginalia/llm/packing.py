@@ -125,7 +125,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     A document is its token ids and then end_id; it is cut freely, and each id lies in exactly one piece. Returns one row
     per piece: (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit
     integers. Every sequence is full or has a power of two of tokens. A null text is an empty one (its only token is
-    end_id), null and repeated ids are kept as they are, other columns are ignored; an empty table gives no rows.
+    end_id), a text of any length is packed whole, null and repeated ids are kept as they are, other columns are ignored; an
+    empty table gives no rows.
     tokenizer: a file of the tokenizers library that every node has.
     """
     path = tokenizer or default_byte_level_path()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.components import connected_components
 from marginalia.llm.golay import near_codewords
-from marginalia.llm.shared import as_bytes, chunks, materialise, text_rows, unused
+from marginalia.llm.shared import as_bytes, chunks, materialise, small, text_rows, unused
 
 #: Keys with more different fingerprints than this are solved by the words around them.
 MAX_BUCKET = 32
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns (doc_id, fp, fingerprint, component_id), one row per row of docs: the fingerprint as 16 hex digits, and the
     smallest id reachable over links of at most two bits, its own included. A null or blank text has fingerprint 0 and
-    is linked like any other. A row with a null id takes part, but its id names no group: a group of such rows alone has
+    is linked like any other; a text of any length is hashed as a whole. A row with a null id takes part, but its id names no group: a group of such rows alone has
     a null component_id. Repeated rows are rows of the result. Other columns are ignored; an empty table gives none.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
@@ -152,11 +152,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = labels.join(lows, "root").select(F.col("node").alias("fp"), "component_id")
     named = materialise(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
-    return fps.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(small(named), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the smallest id stays, once. Rows without an id can't be named by their group and stay as they are."""
+    """The rows of docs without near-duplicates: of each group the row with the smallest id stays, once. Rows without an id can't be named by their group and stay as they are. Null and blank texts are copies of each other; an empty table stays empty."""
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
     # the join and the removal of repeated rows share one partitioning
