@@ -101,6 +101,11 @@ def escaped(text: Column, quotes: bool = False) -> Column:
     return F.replace(out, F.lit('"'), F.lit("&quot;")) if quotes else out
 
 
+def local_name(tag: Column) -> Column:
+    """A tag without its namespace."""
+    return F.regexp_replace(tag, r"^\{[^}]*\}", "")
+
+
 def blob_swhid(content: Column) -> Column:
     """The identifier of a file's content: that of a git blob."""
     head = F.concat(F.lit("blob "), F.length(content).cast("string")).cast("binary")

@@ -123,21 +123,54 @@ def commonmeta(parsed: DataFrame, source: Column | None = None) -> DataFrame:
     return parsed.where("valid").select("article_id", F.to_json(record).alias("commonmeta"))
 
 
-def page(rows: DataFrame) -> DataFrame:
-    """(article_id, html): a plain page of a web abstract: title, authors, abstract, body, references, licence."""
+def has_issues(issues: Column) -> Column:
+    """Whether anything in an article didn't fit."""
+    return F.coalesce(F.size(issues) > 0, F.lit(False))
+
+
+def page(rows: DataFrame, dsi_domain: str | None = None, banner: str | None = None, link_issues: bool = False) -> DataFrame:
+    """(article_id, html): a plain page of a web abstract.
+
+    With a domain, an edition has its address at the top and how to cite it; without an edition the banner stands there.
+    Then title, authors, edition and dates (and a notice, if a newer edition exists), abstract, body, references, copyright
+    and licence, and the identifier of the files, as a link if they are archived. link_issues: a link to the page of
+    issues, if there are any.
+    """
     some = lambda c, before, after: F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
-    names = F.array_join(F.transform("contributors", lambda c: escaped(F.concat_ws(" ", c["given-names"], c["surname"], c["suffix"]))), ", ")
+    nothing = F.lit(None).cast("string")
+    named = lambda *keys: F.transform("contributors", lambda c: escaped(F.concat_ws(" ", *(c[k] for k in keys))))
+    title = F.coalesce(csl.filled(F.trim(F.regexp_replace("title", "<[^>]*>", ""))), F.lit("No Title"))
+    edition, source = F.col("edition"), F.col("source")
+    dsi = F.concat(edition["base_dsi"], F.lit("/"), edition["edid"])
+    address = nothing if dsi_domain is None else F.concat(F.lit(f"https://{dsi_domain}/"), escaped(dsi, True))
+    link = lambda url, text: F.concat(F.lit('<a href="'), url, F.lit('">'), text, F.lit("</a>"))
+    newer = edition["newer_edid"]
+    newest = newer if dsi_domain is None else link(F.concat(F.lit(f"https://{dsi_domain}/"), escaped(F.concat(edition["base_dsi"], F.lit("/"), newer), True)), newer)
+    year = F.coalesce(F.year(F.to_date("date")).cast("string"), F.lit("20??"))
+    cited = F.concat(F.array_join(named("given-names", "surname"), ", "), F.lit(" ("), year, F.lit(") “"), title, F.lit("” "), link(address, address))
+    archived = F.when(F.col("archive_date").isNotNull(), link(F.concat(F.lit("https://archive.softwareheritage.org/"), source), source)).otherwise(source)
+    top = F.coalesce(link(address, dsi), F.lit(None if banner is None else banner).cast("string"))
+    issues = F.when(F.lit(link_issues) & has_issues(F.col("issues")), F.lit('<p class="issues"><a href="issues/">What did not fit</a></p>\n'))
     parts = [
         F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n'),
-        some(F.regexp_replace("title", "<[^>]*>", ""), "<title>", "</title>\n"),
-        F.lit("</head>\n<body>\n<article>\n"),
-        some(F.col("title"), "<h1>", "</h1>\n"),
-        some(csl.filled(names), '<p class="authors">', "</p>\n"),
+        some(title, "<title>", "</title>\n"),
+        F.lit("</head>\n<body>\n"),
+        some(top, "<header>", "</header>\n"),
+        F.lit("<article>\n"),
+        F.concat(F.lit("<h1>"), F.coalesce(csl.filled(F.trim("title")), F.lit("No Title")), F.lit("</h1>\n")),
+        some(csl.filled(F.array_join(named("given-names", "surname", "suffix"), ", ")), '<p class="authors">', "</p>\n"),
+        some(edition["edid"], '<p class="edition">Edition ', "</p>\n"),
+        some(newest, '<p class="obsolete" role="alert">There is a newer edition: ', "</p>\n"),
+        some(F.col("date"), '<p class="date">', "</p>\n"),
+        some(F.col("archive_date"), '<p class="archived">Archived ', "</p>\n"),
+        F.coalesce(issues, F.lit("")),
         some(F.col("abstract"), '<section class="abstract">\n<h2>Abstract</h2>\n', "</section>\n"),
         F.coalesce("body", F.lit("")),
         some(F.col("references"), "", ""),
+        some(F.when(dsi.isNotNull(), cited), '<p class="citation">', "</p>\n"),
         some(F.col("copyright"), '<p class="copyright">', "</p>\n"),
         some(F.col("license_p"), '<p class="license">', "</p>\n"),
+        some(archived, '<p class="source">', "</p>\n"),
         F.lit("</article>\n</body>\n</html>\n"),
     ]
     return rows.select("article_id", F.concat(*parts).alias("html"))

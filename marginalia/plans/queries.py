@@ -616,10 +616,7 @@ FROM (SELECT *, '1.' || max(p_partkey % 12) OVER (PARTITION BY p_partkey // 10)
 """)
 def webstract_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Editions of web abstracts: the latest of each succession by the numbers of its id."""
-    key = F.col("p_partkey")
-    rows = webstracts.webstracts(articles.articles(corpora.licensed(spark, sf_dir)), html_refs=False)
-    editions = table(spark, sf_dir, "part").select(key.cast("string").alias("article_id"), F.concat(F.lit("d"), F.expr("p_partkey div 10").cast("string")).alias("base_dsi"), F.concat(F.lit("1."), (key % 12).cast("string")).alias("edid"), F.concat((key % 30 + 1990).cast("string"), F.lit("-02-03")).alias("date"))
-    made = webstracts.facade(webstracts.with_editions(rows, editions))
+    made = webstracts.facade(_with_editions(spark, sf_dir))
     return made.select(_article_id(), "edid", "base_dsi", "dsi", "seq_edid", "latest_edid", "obsolete", "year")
 
 
@@ -763,6 +760,43 @@ def citations_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- editions and identifiers
 
+def _with_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web abstracts of parts, ten to a succession of editions."""
+    key = F.col("p_partkey")
+    rows = webstracts.webstracts(articles.articles(corpora.licensed(spark, sf_dir)), html_refs=False)
+    editions = table(spark, sf_dir, "part").select(key.cast("string").alias("article_id"), F.concat(F.lit("d"), F.expr("p_partkey div 10").cast("string")).alias("base_dsi"), F.concat(F.lit("1."), (key % 12).cast("string")).alias("edid"), F.concat((key % 30 + 1990).cast("string"), F.lit("-02-03")).alias("date"))
+    return webstracts.with_editions(rows, editions)
+
+
+@query("""
+SELECT p_partkey AS article_id, '<header><a href="https://example.org/d' || (p_partkey // 10) || '/1.' || (p_partkey % 12) || '">d' || (p_partkey // 10) || '/1.' || (p_partkey % 12) || '</a></header>' AS header, '1.' || (p_partkey % 12) AS edition,
+  CASE WHEN latest <> p_partkey % 12 THEN 'https://example.org/d' || (p_partkey // 10) || '/1.' || latest ELSE '' END AS newer, (p_partkey % 30 + 1990) || '-02-03' AS date, '(' || (p_partkey % 30 + 1990) || ') “T”' AS citation, p_name AS license
+FROM (SELECT *, max(p_partkey % 12) OVER (PARTITION BY p_partkey // 10) AS latest FROM part)
+""")
+def html_page_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of editions: address, edition, notice of a newer one, date, how to cite it, licence."""
+    made = webstracts.page(_with_editions(spark, sf_dir), "example.org")
+    part = lambda pattern: F.regexp_extract("html", pattern, 1)
+    found = {"header": "(<header>.*</header>)", "edition": ">Edition ([^<]*)<", "newer": 'newer edition: <a href="([^"]*)"', "date": 'class="date">([^<]*)<', "citation": 'class="citation"> ?([^<]*?) ?<', "license": 'class="license">([^<]*)<'}
+    return made.select(_article_id(), *(part(p).alias(n) for n, p in found.items()))
+
+
+@query("SELECT p_partkey % 8 >= 6 AS has_issues, count(*) AS n, count(*) FILTER (p_partkey % 8 >= 6) AS linked FROM part GROUP BY 1")
+def html_page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages link to their issues, if they have any."""
+    rows = webstracts.webstracts(articles.articles(corpora.marked_up(spark, sf_dir)), html_refs=False)
+    made = webstracts.page(rows, link_issues=True).join(rows.select("article_id", webstracts.has_issues(F.col("issues")).alias("has_issues")), "article_id")
+    return made.groupBy("has_issues").agg(F.count("*").alias("n"), F.count_if(F.contains("html", F.lit('href="issues/"'))).alias("linked"))
+
+
+@query("SELECT tag, sum(n)::BIGINT AS n FROM (SELECT unnest(['math', 'mi']) AS tag, 1 AS n FROM orders WHERE o_orderkey % 5 < 2) GROUP BY tag")
+def mathml_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of maths in the normal form, by name without namespace."""
+    parsed = articles.articles(corpora.formulas(spark, sf_dir), fields="xml").select("article_id", F.col("xml").alias("content"))
+    found = nodes.scan_xml(parsed, columns="tag").where(F.startswith("tag", F.lit(_MML)))
+    return found.groupBy(values.local_name(F.col("tag")).alias("tag")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey AS article_id FROM part WHERE p_partkey % 3 <> 0")
 def webstract_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Editions without a stored web abstract: what an incremental run makes."""

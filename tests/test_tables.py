@@ -170,6 +170,25 @@ def test_article_files(spark, tmp_path):
         webstracts.write_articles(spark.createDataFrame([("a/b", "x")], "article_id string, xml string"), str(tmp_path / "no"))
 
 
+def test_stored_webstracts_are_read_again(spark, tmp_path):
+    raw = spark.createDataFrame([("1", b"<article><front><article-meta><title-group><article-title>A <b>t</b></article-title></title-group></article-meta></front><body><p>x</p></body></article>")], "article_id string, content binary")
+    made = webstracts.to_json(webstracts.webstracts(articles.articles(raw)))
+    (tmp_path / "w.json").write_text(made.first().webstract)
+    row = files.read_webstracts(spark, str(tmp_path / "w.json")).first()
+    assert row.title == "A <strong>t</strong>" and row.body == "<p>x</p>\n" and row.bare_tex is False
+    assert webstracts.missing(raw, made).count() == 0
+
+
+def test_page_without_edition(spark):
+    raw = spark.createDataFrame([("1", b"<article><front/><body><p>x<sc>y</sc></p></body></article>")], "article_id string, content binary")
+    rows = webstracts.webstracts(articles.articles(raw).withColumn("source", F.lit("swh:1:dir:abc")))
+    html = webstracts.page(rows, banner="Draft", link_issues=True).first().html
+    assert "<header>Draft</header>" in html and "<h1>No Title</h1>" in html and 'href="issues/"' in html
+    assert "citation" not in html and '<p class="source">swh:1:dir:abc</p>' in html
+    archived = webstracts.page(rows.withColumn("archive_date", F.lit("2020-01-02"))).first().html
+    assert 'href="https://archive.softwareheritage.org/swh:1:dir:abc"' in archived and "issues/" not in archived
+
+
 def test_lists_and_issue_pages(spark, tmp_path):
     values_ = spark.createDataFrame([("b",), ("a",), ("b",)], "value string")
     files.write_lines(values_, str(tmp_path / "list"))
