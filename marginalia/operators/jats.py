@@ -19,7 +19,7 @@ JATS_TAGS = {
 } | {f"h{i}": "title" for i in range(1, 7)}
 #: Children that get a paragraph around them.
 WRAPPED = {"dd": frozenset(["code", "dl", "blockquote", "ol", "ul", "pre"]), "li": frozenset(["code", "blockquote", "pre"])}
-#: Elements whose attributes are kept; of renamed ones only a section's id.
+#: Fixed value: the document type of the target.
 DOCTYPE = '<!DOCTYPE article PUBLIC "-//NLM//DTD JATS (Z39.96) Journal Archiving and Interchange DTD with MathML3 v1.3 20210610//EN" "JATS-archivearticle1-3-mathml3.dtd">'
 
 #: Made-up metadata of a journal.
