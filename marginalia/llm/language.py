@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks, materialise, text_rows, trim
+from marginalia.llm.shared import chunks, materialise, release, text_rows, trim
 
 #: Labelled documents to fit on, about.
 MAX_TRAINING = 20_000
@@ -143,7 +143,7 @@ def _tallied(entries: Iterator[tuple[tuple, int]], names: list[str], types: list
 
 
 def _counts(labelled: DataFrame) -> DataFrame:
-    """(lang, kind, gram, n): words (kind 0) and n-grams (their length) of labelled(text, lang). N-grams are made from the different words, after these are counted."""
+    """(lang, kind, gram, n), stored: words (kind 0) and n-grams (their length) of labelled(text, lang). N-grams are made from the different words, after these are counted."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((text, lang) for b in chunks(batches, "text") for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True))
@@ -155,7 +155,9 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
     found = materialise(text_rows(labelled).mapInArrow(words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     parts = found.mapInArrow(ngrams, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    return found.select("lang", F.lit(0).alias("kind"), "gram", "n").unionAll(parts)
+    every = materialise(found.select("lang", F.lit(0).alias("kind"), "gram", "n").unionAll(parts), "grams")
+    release(found)
+    return every
 
 
 def share(sizes: list[int], limit: int) -> int:
@@ -178,7 +180,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         chosen = usable.sparkSession.createDataFrame([(r.lang, r.n, r.first) for r in sizes], "lang string, n long, first long")
         # the first of each language takes part in any case
         usable = usable.join(F.broadcast(chosen), "lang").where((F.pmod(F.col("place"), F.col("n")) < each) | (F.col("place") == F.col("first")))
-    counted = materialise(_counts(usable.select("text", "lang")), "grams")
+    counted = _counts(usable.select("text", "lang"))
     totals = {(r.lang, r.kind): r.n for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for lang, kind in totals})
     each = max(1, max_entries // max(1, len(languages)))
@@ -192,6 +194,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         own = names[r.kind > 0]
         places.append((own.setdefault(r.gram, len(own)), column[r.lang], r.kind > 0))
         counts.append(r.n)
+    release(counted)
     words, ngrams = names
     table = np.zeros((len(words) + len(ngrams), len(languages)), np.float32)
     for (row, at, is_gram), n in zip(places, counts, strict=True):
