@@ -2,8 +2,8 @@
 
 Every partition keeps a fixed number of open windows. A document's full windows leave at once; what remains is placed
 into the open window with the least room that holds it. If none does, the fullest one is topped up with the
-remainder's head and leaves full. What is open at a partition's end is merged there, and what is still short of a
-window is merged over lots of partitions; the last of a lot is cut at powers of two, which need no padding.
+remainder's head and leaves full. What is open at a partition's end is merged there; what is then still short of a window
+is cut at powers of two, which need no padding. So nothing is shuffled or stored.
 """
 
 from __future__ import annotations
@@ -16,13 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import chunks, materialise, text_rows
+from marginalia.llm.shared import chunks, text_rows
 from marginalia.llm.tokenize import byte_level, default_byte_level_path
 
-#: Partitions whose last short windows are merged together.
-LOT = 64
-
-_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, lot long, leftover boolean"
+_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Piece:
@@ -50,18 +47,18 @@ class Rows:
         self.next_sequence = first_sequence
         self.rows: list[tuple] = []
 
-    def add(self, sequence: list[Piece], lot: int = 0, leftover: bool = False) -> None:
+    def add(self, sequence: list[Piece]) -> None:
         offset = 0
         for piece in sequence:
-            self.rows.append((piece.doc_id, piece.start, len(piece), piece.ids, piece.doc_tokens, self.next_sequence, offset, lot, leftover))
+            self.rows.append((piece.doc_id, piece.start, len(piece), piece.ids, piece.doc_tokens, self.next_sequence, offset))
             offset += len(piece)
         self.next_sequence += 1
 
     def take(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows, strict=True)) or [()] * 9
+        columns = list(zip(*self.rows, strict=True)) or [()] * 7
         self.rows = []
         long = pa.int64()
-        types = [long, long, long, pa.binary(), long, long, long, long, pa.bool_()]
+        types = [long, long, long, pa.binary(), long, long, long]
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -119,12 +116,12 @@ def fill_up(rows: Rows, pieces: list[Piece], size: int) -> list[Piece]:
     return now
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = 1024, n_open: int = 32, end_id: int = 0, lot: int = LOT) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = 1024, n_open: int = 32, end_id: int = 0) -> DataFrame:
     """Packs all documents into sequences of at most `size` tokens.
 
     A document is its token ids and then end_id; it is cut freely, and each id lies in exactly one piece. Returns one row
     per piece: (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit
-    integers. Every sequence is full or has a power of two of tokens. A null text is an empty one (its only token is
+    integers. Every sequence is full or has a power of two of tokens, and few of each partition aren't full. A null text is an empty one (its only token is
     end_id), a text of any length is packed whole, null and repeated ids are kept as they are, other columns are ignored; an
     empty table gives no rows.
     tokenizer: a file of the tokenizers library that every node has.
@@ -142,27 +139,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 windows.place(Piece(doc_id, len(ids) // 4 + 1, 0, ids + end))
             yield rows.take()
         left = windows.merge()
-        if left:
-            rows.add(left, part // lot, True)
-        yield rows.take()
-
-    def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
-        columns = (table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "start", "ids"))
-        rows = Rows((1 << 62) + (table.column("lot")[0].as_py() << 32))
-        left = fill_up(rows, [Piece(*x) for x in zip(*columns, strict=True)], size)
         rest = sum(map(len, left))
         while rest:  # the binary digits of the rest, largest first
             power = 1 << (rest.bit_length() - 1)
             rest -= power
             left = _take(rows, left, power)
-        return pa.Table.from_batches([rows.take()])
+        yield rows.take()
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = materialise(text_rows(columns).mapInArrow(run, _SCHEMA), "packed", "leftover")
-    merged = packed.where("leftover").select(_SCHEMA.replace(" long", "").replace(" binary", "").replace(" boolean", "").split(", ")).groupBy("lot").applyInArrow(merge, _SCHEMA)
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    return packed.where("not leftover").select(names).unionAll(merged.select(names))
+    return text_rows(columns).mapInArrow(run, _SCHEMA)
 
 
 def _take(rows: Rows, pieces: list[Piece], n: int) -> list[Piece]:
