@@ -76,6 +76,18 @@ def test_crowded_keys(spark, block):
     assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
 
 
+def test_large_group_of_loosely_near_copies(spark, monkeypatch):
+    """Copies of one text that are near to about half of the others each: linked by a few rounds of stars, and few pairs are left to compare."""
+    rng, pairs = random.Random(2), []
+    base = prose(rng, 200)
+    texts = [" ".join(edited(rng, base, rng.choice([1, 3, 4, 5]))) for _ in range(150)] + [" ".join(prose(rng, 100)) for _ in range(20)]
+    real = jaccard._open_pairs
+    monkeypatch.setattr(jaccard, "_open_pairs", lambda keyed, block: pairs.append(real(keyed, block).distinct().count()) or real(keyed, block))
+    rows = jaccard.groups(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(plain_groups(texts)))
+    assert pairs[0] < 150 * 20
+
+
 def test_equal_fingerprints_of_different_texts(spark):
     """Texts with one fingerprint of 64 bits, of which only the one that isn't first has a near copy."""
     rng = random.Random(1)
