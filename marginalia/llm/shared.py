@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker; longer texts come alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows with texts that are sent to a Python worker at once.
 BATCH_ROWS = 1000
 #: Rows of a few numbers that may be broadcast: some tens of MB.

@@ -31,14 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import BROADCAST_ROWS, as_bytes, chunks, materialise, new_path, partitions, release, remove, text_rows, unused, unzipped, zipped
+from marginalia.llm.shared import as_bytes, chunks, materialise, new_path, partitions, release, remove, text_rows, unused, unzipped, zipped
 from marginalia.llm.words import first_minimum, rolling, word_hashes
 
 WINDOW, GRAM = 13, 6
 #: Bytes of text that make one piece of the input, and bytes for each of which the index has a bucket.
-PIECE, BUCKET_BYTES = 8 << 20, 64 << 20
-#: Bytes of places that may be broadcast.
-BROADCAST_BYTES = 32 << 20
+PIECE, BUCKET_BYTES = 4 << 20, 8 << 20
 
 _BLOCK = "bucket int, kind int, keys binary, more binary, docs binary, places binary"
 _NAMES = ["bucket", "kind", "keys", "more", "docs", "places"]
@@ -287,17 +285,9 @@ class FingerprintIndex:
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Joins (doc_id, text) with stored (_doc, _places). If the places are few and small, each machine gets them; else texts are shuffled, compressed."""
-    few = _few(places, "_places")
-    texts = texts if few else zipped(texts)
-    places = F.broadcast(places) if few else places
-    return text_rows(texts.join(places, texts["doc_id"] == places["_doc"], how))
-
-
-def _few(places: DataFrame, column: str) -> bool:
-    """Whether stored places are small enough for a broadcast."""
-    size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("bytes")).first()
-    return size.n <= BROADCAST_ROWS // 4 and size.bytes <= BROADCAST_BYTES
+    """Joins (doc_id, text) with (_doc, _places). Texts are shuffled compressed; the same way at any size."""
+    packed = zipped(texts)
+    return text_rows(packed.join(places, packed["doc_id"] == places["_doc"], how))
 
 
 def _anchor_blocks(n_buckets: int) -> Callable:
@@ -459,8 +449,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names, lost = docs.columns, unused(docs, "places")
     found = repeats(texts, n_batches)
     places = found.select(F.col("_doc").alias(unused(docs, "doc")), F.col("_places").alias(lost))
-    few, owner = _few(found, "_places"), places.columns[0]
-    joined = docs.join(F.broadcast(places) if few else places, F.col(id_col).cast("long") == F.col(owner), "left").drop(owner)
+    owner = places.columns[0]
+    joined = docs.join(places, F.col(id_col).cast("long") == F.col(owner), "left").drop(owner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):

@@ -230,13 +230,6 @@ def test_clashing_hashes(spark, n_batches, monkeypatch, tmp_path):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removed(texts, range(len(texts)))
 
 
-def test_places_too_many_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
-    texts = passages(random.Random(6))
-    rows = substrings.digest(substrings.deduplicate(frame(spark, texts))).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == removed(texts, range(len(texts)))
-
-
 def test_deduplicate_with_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = substrings.deduplicate(frame(spark, [text, text, text, text + " more"], [None, 4, 4, 9])).collect()
