@@ -1,16 +1,20 @@
 """Groups of texts whose sets of shingles have a similarity (Jaccard) of at least 4/5, by an exact join.
 
-Texts with equal sets are one class. All shingles have one order; two sets of n and m shingles that are similar have at
-least 4/9 (n + m) in common, so they share one of the first n - ceil(4n/5) + 1 (prefix filter). These are the keys. At the
-first shingle that both share, at most what follows it can be shared, which rules out most pairs (positional filter). Every
-pair that is left is verified on the shingles of its texts, so no similar pair is missed and none is linked that isn't.
-
-The order decides only how many candidates there are: shingles that are frequent in a sample of the texts come last.
-
-First each key's members are compared with one of them, so that a group of near copies is one component after about as many
-comparisons as it has members. Where that leaves crowded keys with several components, it is done again with other members
-to compare with, as long as this makes components fewer. Then all pairs of a key that aren't in one component yet are
-compared; a key with more than BLOCK members is dealt in blocks, each of which meets all members.
+Texts with equal sets are one class. Candidates come first from a few tables of least hashes, in which each set meets the one
+next to it, and are verified on the shingles of their texts. This links most near copies after a few comparisons for each
+text, however large their group.
+
+All shingles have one order; two sets of n and m shingles that are
+similar have at least 4/9 (n + m) in common, so they share one of the first n - ceil(4n/5) + 1 (prefix filter). These are
+the keys. Three rules say which of the sets that share a key need a comparison, none of which drops a similar pair unlinked:
+sets of one component are linked already; at the first shingle that both share, at most what follows it can be shared
+(positional filter); and similar sets differ in at most 1/9 (n + m) shingles, so in at most so many bits of sketches that
+hold the parity of each bucket of hashes (sketch filter). All other pairs of a key are verified, so no similar pair is missed
+and none is linked that isn't; a key with more than BLOCK members is dealt in blocks, each of which meets all members.
+
+The order decides only how many candidates there are: shingles that are frequent in a sample of the texts come last. A pair
+comes up at the first key of a run that both share, not at each. Where keys with members of several components stay crowded,
+each member is compared with a few others of the key first, and again with other ones as long as this links more of them.
 
 Pairs are verified in cells of a grid over both ends, so a text travels once for each cell that has a pair of it, compressed;
 in a cell one end's sets are held and the other end's texts go by. Tables of ids are broadcast only after a count.
@@ -30,12 +34,15 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.components import connected_components
 from marginalia.llm.shared import as_bytes, chunks, materialise, release, small, text_rows, unused, unzipped, zipped
-from marginalia.llm.words import rolling, word_hashes
+from marginalia.llm.words import mix, rolling, word_hashes
 
 #: Members of a key that are compared in one group, and pairs of a cell, about.
 BLOCK, CELL_PAIRS = 1024, 8192
 #: Texts of the sample for the order, about; and its frequent shingles that are told apart.
 SAMPLE, FREQUENT = 20_000, 100_000
+#: Words of a sketch (a power of two), tables of least hashes, and keys before one that tell whether a pair came up already.
+SKETCH, TABLES, EARLIER = 8, 4, 2
+_ODD = mix(np.arange(1, 3 * TABLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: bytes | None, shingle: int) -> np.ndarray:
@@ -61,6 +68,21 @@ def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.nd
     return found[np.lexsort((found, own))][: n - (4 * n + 4) // 5 + 1]
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH buckets of hashes whether the set has an odd number in it. Sets that differ in k shingles differ in at most k bits."""
+    bits = 64 * SKETCH
+    counts = np.bincount((found >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def least(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A name for each table, which two sets share with a chance of their similarity squared, and a place among the sets of that name."""
+    if not len(found):
+        return found, found
+    first, second, third = np.array([(found * odd).min() for odd in _ODD], np.uint64).reshape(3, TABLES)
+    return mix(first ^ mix(second + np.arange(TABLES, dtype=np.uint64))), third
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(d, shingles) of docs(doc_id, text)."""
 
@@ -83,17 +105,21 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, d, n, keys), one row per row of docs(doc_id, text): the set's name and size and the keys in their order."""
+    """(doc_id, d, n, sketch, names, places, keys), one row per row of docs(doc_id, text): the set's name and size, its sketch and least hashes and the keys in their order."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
+    longs = lambda rows: pa.array([np.asarray(r).view(np.int64) for r in rows], pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in chunks(batches, "text"):
-            sets = [shingles(x, shingle) for x in batch.column("text").to_pylist()]
-            keys = pa.array([prefix(s, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], ["doc_id", "d", "n", "keys"])
+            texts = batch.column("text").to_pylist()
+            sets = [shingles(x, shingle) for x in texts]
+            names, places = zip(*map(least, sets), strict=True)
+            columns = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            columns += [longs(map(sketch, sets)), longs(names), longs(places), longs(prefix(s, frequent, counts) for s in sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "d", "n", "sketch", "names", "places", "keys"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, d long, n long, keys array<long>")
+    return text_rows(docs).mapInArrow(run, "doc_id long, d long, n long, sketch array<long>, names array<long>, places array<long>, keys array<long>")
 
 
 def _possible(n: str, pos: str, m: str, at: str) -> str:
@@ -101,6 +127,16 @@ def _possible(n: str, pos: str, m: str, at: str) -> str:
     return f"9 * least({n} - {pos}, {m} - {at}) >= 4 * ({n} + {m})"
 
 
+def _words(sketch: str = "sketch", name: str = "w") -> list[F.Column]:
+    """The words of a sketch as columns."""
+    return [F.col(sketch)[i].alias(f"{name}{i}") for i in range(SKETCH)]
+
+
+def _alike(n: str, m: str, left: str, right: str) -> str:
+    """Whether sets of n and m with these words of sketches can be similar."""
+    return f"9 * ({' + '.join(f'bit_count({left}{i} ^ {right}{i})' for i in range(SKETCH))}) <= {n} + {m}"
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets, sorted, have at least 4/5 of their union in common."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -108,7 +144,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """The rows of pairs(a, b), each once, whose sets are similar. Few different a should have many b each, not the other way round."""
+    """The rows of pairs(a, b), each once, whose sets are similar, stored. Few different a should have many b each, not the other way round."""
     pairs = materialise(pairs.distinct(), "pairs")
     side = max(1, isqrt(ceil(pairs.count() / CELL_PAIRS)))
     group = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
@@ -116,8 +152,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     held = placed.select("cell", F.col("a").alias("d")).distinct().select("cell", "d", F.lit(None).cast("array<long>").alias("partners"))
     asked = placed.groupBy("cell", F.col("b").alias("d")).agg(F.collect_list("a").alias("partners")).select("cell", "d", "partners")
     sends = materialise(held.unionAll(asked), "sends")
-    ends = small(materialise(classes.join(sends.select("d").distinct(), "d", "left_semi").select(F.col("low").alias("doc_id"), "d"), "ends"))
-    texts = zipped(docs.join(ends, "doc_id"), "d")
+    ends = materialise(classes.join(sends.select("d").distinct(), "d", "left_semi").select(F.col("low").alias("doc_id"), "d"), "ends")
+    texts = zipped(docs.join(small(ends), "doc_id"), "d")
     # rows with one id may have different texts; the set's name tells which is meant
     rows = texts.join(small(sends), "d").repartition(min(4096, side * side), "cell").sortWithinPartitions("cell", F.col("partners").isNotNull())
 
@@ -138,15 +174,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return text_rows(rows.select("cell", "d", "partners", "text")).mapInArrow(run, "a long, b long")
+    out = materialise(text_rows(rows.select("cell", "d", "partners", "text")).mapInArrow(run, "a long, b long"), "verified")
+    release(pairs, sends, ends)
+    return out
+
+
+def _by_least(first: DataFrame) -> DataFrame:
+    """(a, b) of first(d, n, sketch, names, places): each set with the one before it in each table, where they can be similar."""
+    rows = first.select("d", "n", *_words(), F.posexplode(F.arrays_zip("names", "places")).alias("turn", "at"))
+    before = F.lag(F.struct("d", "n", *(f"w{i}" for i in range(SKETCH)))).over(Window.partitionBy("at.names", "turn").orderBy("at.places", "n", "d"))
+    met = rows.withColumn("before", before).where(f"{_possible('n', '0', 'before.n', '0')} and {_alike('n', 'before.n', 'w', 'before.w')}")
+    return met.select(F.col("before.d").alias("a"), F.col("d").alias("b"))
 
 
 def _open_pairs(keyed: DataFrame, block: int) -> DataFrame:
-    """(a, b) of all rows of keyed(key, d, n, pos, size, root) that have a key in common and different roots, and can be similar."""
+    """(a, b) of all rows of keyed(key, d, n, pos, size, root, earlier, w0, ...) that have a key in common and different roots, and can be similar. Where they also share one of the keys in earlier, they are a pair there."""
     blocks = F.ceil(F.col("size") / block).cast("int")
-    left = keyed.select("key", F.pmod(F.xxhash64("d"), blocks).cast("int").alias("block"), F.col("d").alias("a"), "n", "pos", F.col("root").alias("up"))
-    right = keyed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("d").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), "root")
-    return left.join(right, ["key", "block"]).where(f"a < b and up <> root and {_possible('n', 'pos', 'm', 'at')}").select("a", "b")
+    words = lambda name: [F.col(f"w{i}").alias(f"{name}{i}") for i in range(SKETCH)]
+    left = keyed.select("key", F.pmod(F.xxhash64("d"), blocks).cast("int").alias("block"), F.col("d").alias("a"), "n", "pos", F.col("root").alias("up"), F.col("earlier").alias("own"), *words("w"))
+    right = keyed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("d").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), "root", "earlier", *words("v"))
+    new = f"a < b and up <> root and {_possible('n', 'pos', 'm', 'at')} and {_alike('n', 'm', 'w', 'v')} and not arrays_overlap(own, earlier)"
+    return left.join(right, ["key", "block"]).where(new).select("a", "b")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
@@ -162,61 +210,59 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     first = found.join(small(classes.select("d", F.col("low").alias("doc_id"))), ["d", "doc_id"])
     if _repeated(found):
         first = first.dropDuplicates(["d"])
+    near = _verified(_by_least(first), own, classes, shingle)
+    roots = materialise(connected_components(near).withColumnRenamed("node", "d"), "roots")
+    rooted = first.select("d", "n", "keys").join(small(roots), "d", "left").select("d", "n", F.coalesce("root", "d").alias("root"), F.posexplode("keys").alias("pos", "key"))
     # size and place go as one number, which keeps the largest shuffle's rows short
-    keyed = first.select("d", "n", F.posexplode("keys").alias("pos", "key")).select("key", "d", (F.shiftleft(F.col("n"), 31) + F.col("pos")).alias("at"))
-    whole = Window.partitionBy("key")
-    # the smallest set of a key is near to most others: a passage that many texts share makes up most of the shortest one
-    lead = F.first(F.struct("d", "at")).over(whole.orderBy("at", "d"))
-    n, pos = lambda at: F.shiftright(at, 31), lambda at: F.expr(f"cast({at} & 2147483647 AS int)")
-    met = keyed.select("key", "d", "at", F.count("*").over(whole).alias("size"), lead.alias("lead")).where("size > 1")
-    shared = materialise(met.select("key", "d", n("at").alias("n"), pos("at").alias("pos"), "size", F.col("lead.d").alias("lead_d"), n("lead.at").alias("lead_n"), pos("lead.at").alias("lead_pos")), "shared")
-    stars = shared.where(f"d <> lead_d and {_possible('n', 'pos', 'lead_n', 'lead_pos')}").select(F.col("lead_d").alias("a"), F.col("d").alias("b"))
-    near = materialise(_verified(stars, own, classes, shingle), "near")
-    rooted = shared.select("key", "d", "n", "pos").join(connected_components(near).withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-    several, more = _open(rooted), []
+    short = _open(rooted.select("key", "d", "root", (F.shiftleft(F.col("n"), 31) + F.col("pos")).alias("at")))
+    placed = short.select("key", "d", F.shiftright("at", 31).alias("n"), F.expr("cast(at & 2147483647 AS int)").alias("pos"), "size", "root")
+    earlier = F.expr(f"slice(keys, greatest(pos - {EARLIER}, 0) + 1, least(pos, {EARLIER}))").alias("earlier")
+    several, more = materialise(placed.join(first.select("d", "keys", *_words()), "d").select(*placed.columns, earlier, *(f"w{i}" for i in range(SKETCH))), "several"), []
+    ids = materialise(found.select("doc_id", "d"), "ids")
+    release(short, found)
     while _crowded(several):
-        found_more = materialise(_verified(_stars(several, len(more)), own, classes, shingle), "more")
+        found_more = _verified(_neighbours(several, len(more)), own, classes, shingle)
         more.append(found_more)
-        merged = connected_components(_of_roots(found_more, several)).select(F.col("node").alias("root"), F.col("root").alias("up"))
-        before, several = several, _open(several.drop("size").join(small(materialise(merged, "merged")), "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up"))
-        fewer = several.count() < 0.9 * before.count()
-        release(before)
-        if not fewer:
+        merged = materialise(connected_components(_of_roots(found_more, several)).select(F.col("node").alias("root"), F.col("root").alias("up")), "merged")
+        before, several = several, _open(several.drop("size").join(small(merged), "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up"))
+        gone, there = merged.where("up <> root").count(), before.select("root").distinct().count()
+        release(before, merged)
+        if gone < 0.01 * there:
             break
     near = reduce(DataFrame.unionAll, more, near)
     rest = _verified(_open_pairs(several, block), own, classes, shingle)
     labels = connected_components(near.unionAll(rest)).withColumnRenamed("node", "d")
     lows = labels.join(classes, "d").groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialise(classes.join(labels.join(lows, "root").select("d", "component_id"), "d", "left").select("d", F.coalesce("component_id", "low").alias("component_id")), "components")
-    out = materialise(found.select("doc_id", "d").join(small(named), "d").select("doc_id", "component_id"), "groups")
-    release(found, classes, shared, several, named, *more)
+    out = materialise(ids.join(small(named), "d").select("doc_id", "component_id"), "groups")
+    release(ids, classes, roots, several, named, rest, *more)
     return out
 
 
-#: Pairs for each row of the open keys, from which on these are crowded.
-CROWDED = 8
+#: Pairs for each row of the open keys, from which on these are crowded; and members of a key that one is compared with first.
+CROWDED, NEIGHBOURS = 8, 8
 
 
 def _open(rooted: DataFrame) -> DataFrame:
-    """The rows of rooted(key, d, n, pos, root) whose key has members of several components, stored, with the number of its members."""
+    """The rows of rooted(key, d, root, ...) whose key has members of several components, stored, with the number of its members."""
     whole = Window.partitionBy("key")
     ends = rooted.select("*", F.min("root").over(whole).alias("_first"), F.max("root").over(whole).alias("_last"), F.count("*").over(whole).alias("size"))
-    return materialise(ends.where("_first <> _last").select("key", "d", "n", "pos", "size", "root"), "open")
+    return materialise(ends.where("_first <> _last").drop("_first", "_last"), "open")
 
 
 def _crowded(several: DataFrame) -> bool:
-    """Whether comparing all pairs of the open keys takes far more comparisons than they have rows."""
-    found = several.agg(F.count("*").alias("rows"), F.coalesce(F.sum((F.col("size") - 1) / 2), F.lit(0.0)).alias("pairs")).first()
+    """Whether the open keys have far more pairs of members in different components than rows."""
+    sizes = several.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").cast("double").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("within"))
+    found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.lit(0.0)).alias("pairs")).first()
     return found.pairs > CROWDED * found.rows
 
 
-def _stars(several: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of an open key with one member of another component and about the same size; the same one in as many keys as possible, at first the smallest, another one in each turn. The bands of sizes move by half with each turn."""
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 0.5 * (turn % 2))
-    order = ["n", "d"] if turn == 0 else [F.xxhash64("d", F.lit(turn)), "d"]
-    lead = F.first(F.struct("d", "n", "pos", "root")).over(Window.partitionBy("key", band).orderBy(*order))
-    rows = several.withColumn("lead", lead).where(f"root <> lead.root and {_possible('n', 'pos', 'lead.n', 'lead.pos')}")
-    return rows.select(F.col("lead.d").alias("a"), F.col("d").alias("b"))
+def _neighbours(several: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each member of an open key with the NEIGHBOURS before it that are in another component, where they can be similar. The members' order is another one for each key and turn."""
+    words = [f"w{i}" for i in range(SKETCH)]
+    before = Window.partitionBy("key").orderBy(F.xxhash64("d", "key", F.lit(turn)), "d").rowsBetween(-NEIGHBOURS, -1)
+    met = several.select("d", "n", "pos", "root", *words, F.collect_list(F.struct("d", "n", "pos", "root", *words)).over(before).alias("others"))
+    return met.withColumn("o", F.explode("others")).where(f"root <> o.root and {_possible('n', 'pos', 'o.n', 'o.pos')} and {_alike('n', 'o.n', 'w', 'o.w')}").select(F.least("d", "o.d").alias("a"), F.greatest("d", "o.d").alias("b"))
 
 
 def _of_roots(pairs: DataFrame, several: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from marginalia.llm import jaccard, simhash
@@ -88,6 +89,31 @@ def test_large_group_of_loosely_near_copies(spark, monkeypatch):
     assert pairs[0] < 150 * 20
 
 
+def test_pairs_of_a_key_are_few(spark, monkeypatch):
+    """A group of loosely near copies and many texts that share a passage with them and each other: few rows leave the join, although all pairs are decided."""
+    rng, rows = random.Random(12), []
+    base = prose(rng, 200)
+    texts = [" ".join(edited(rng, base, rng.choice([1, 3, 4, 5]))) for _ in range(150)]
+    texts += [" ".join(base[:120] + prose(rng, 80)) for _ in range(150)]
+    real = jaccard._open_pairs
+    monkeypatch.setattr(jaccard, "_open_pairs", lambda keyed, block: rows.append(real(keyed, block).count()) or real(keyed, block))
+    found = jaccard.groups(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == set(enumerate(plain_groups(texts)))
+    assert rows[0] < 10 * len(texts)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = random.Random(4)
+    for n in (1, 2, 9, 60, 300, 3000):
+        for _ in range(30):
+            x = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+            kept = rng.sample(range(len(x)), rng.randint((4 * len(x) + 4) // 5, len(x)))
+            added = [rng.getrandbits(64) for _ in range(rng.randint(0, n // 8))]
+            y = np.unique(np.concatenate([x[kept], np.array(added, np.uint64)]))
+            differ = sum((int(a) ^ int(b)).bit_count() for a, b in zip(jaccard.sketch(x).view(np.uint64), jaccard.sketch(y).view(np.uint64), strict=True))
+            assert not jaccard.similar(x, y) or 9 * differ <= len(x) + len(y)
+
+
 def test_equal_fingerprints_of_different_texts(spark):
     """Texts with one fingerprint of 64 bits, of which only the one that isn't first has a near copy."""
     rng = random.Random(1)
