@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id: shingles of five words, a similarity of 0.8 or more, each link verified. Fingerprints of 64 bits can't find such pairs, so candidates come from an exact join (README)."""
+    """One document of each group, that with the smallest doc_id: shingles of five words, a similarity of 0.8 or more, each link verified. Operator 1 gives the candidates (near fingerprints by Golay keys); pairs that fingerprints of 64 bits can't find come from an exact join (README)."""
     return jaccard.drop_near_duplicates(docs, shingle=5)
 
 

@@ -1,10 +1,11 @@
-"""Groups of texts whose sets of shingles have a similarity (Jaccard) of at least 4/5, by an exact join.
+"""Groups of texts whose sets of shingles have a similarity (Jaccard) of at least 4/5: SimHash with Golay keys, and an exact join for the rest.
 
-Texts with equal sets are one class. Candidates come first from a few tables of least hashes, in which each set meets the one
-next to it, and are verified on the shingles of their texts. This links most near copies after a few comparisons for each
-text, however large their group.
+Texts with equal sets are one class. Candidates come first from operator 1: a set's fingerprint, the fingerprints at most
+two bits apart by their Golay keys (`simhash.links`); and from a few tables of least hashes, in which each set meets the one
+next to it. Every candidate is verified on the shingles of its texts, so texts with near fingerprints that aren't similar
+stay apart. This links most near copies after a few comparisons for each text, however large their group.
 
-All shingles have one order; two sets of n and m shingles that are
+What fingerprints can't find is found by an exact join. All shingles have one order; two sets of n and m shingles that are
 similar have at least 4/9 (n + m) in common, so they share one of the first n - ceil(4n/5) + 1 (prefix filter). These are
 the keys. Three rules say which of the sets that share a key need a comparison, none of which drops a similar pair unlinked:
 sets of one component are linked already; at the first shingle that both share, at most what follows it can be shared
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm import simhash
 from marginalia.llm.components import connected_components
 from marginalia.llm.shared import as_bytes, chunks, materialise, release, small, text_rows, unused, unzipped, zipped
 from marginalia.llm.words import mix, rolling, word_hashes
@@ -105,7 +107,7 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, d, n, sketch, names, places, keys), one row per row of docs(doc_id, text): the set's name and size, its sketch and least hashes and the keys in their order."""
+    """(doc_id, d, n, fp, sketch, names, places, keys), one row per row of docs(doc_id, text): the set's name and size, the text's fingerprint, the set's sketch and least hashes and the keys in their order."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
     longs = lambda rows: pa.array([np.asarray(r).view(np.int64) for r in rows], pa.list_(pa.int64()))
 
@@ -113,13 +115,14 @@ def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
         frequent, counts = shared.value
         for batch in chunks(batches, "text"):
             texts = batch.column("text").to_pylist()
+            prints = np.array([simhash.fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
             sets = [shingles(x, shingle) for x in texts]
             names, places = zip(*map(least, sets), strict=True)
-            columns = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints)]
             columns += [longs(map(sketch, sets)), longs(names), longs(places), longs(prefix(s, frequent, counts) for s in sets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "d", "n", "sketch", "names", "places", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "d", "n", "fp", "sketch", "names", "places", "keys"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, d long, n long, sketch array<long>, names array<long>, places array<long>, keys array<long>")
+    return text_rows(docs).mapInArrow(run, "doc_id long, d long, n long, fp long, sketch array<long>, names array<long>, places array<long>, keys array<long>")
 
 
 def _possible(n: str, pos: str, m: str, at: str) -> str:
@@ -179,6 +182,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     return out
 
 
+def _by_fingerprint(first: DataFrame) -> DataFrame:
+    """(a, b) of first(d, n, fp), stored: each set with the smallest one of its fingerprint, and these for fingerprints at most two bits apart, by operator 1."""
+    lead = F.first("d").over(Window.partitionBy("fp").orderBy("n", "d"))
+    led = materialise(first.select("d", "fp", lead.alias("lead")), "led")
+    leads = materialise(led.where("d = lead").select("fp", "d"), "leads")
+    end = lambda c: small(leads).select(F.col("fp").alias(c), F.col("d").alias(f"d_{c}"))
+    linked = simhash.links(leads.select("fp")).distinct().join(end("a"), "a").join(end("b"), "b")
+    out = materialise(led.where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).unionAll(linked.select(F.col("d_a").alias("a"), F.col("d_b").alias("b"))), "by-fingerprint")
+    release(led, leads)
+    return out
+
+
 def _by_least(first: DataFrame) -> DataFrame:
     """(a, b) of first(d, n, sketch, names, places): each set with the one before it in each table, where they can be similar."""
     rows = first.select("d", "n", *_words(), F.posexplode(F.arrays_zip("names", "places")).alias("turn", "at"))
@@ -210,7 +225,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     first = found.join(small(classes.select("d", F.col("low").alias("doc_id"))), ["d", "doc_id"])
     if _repeated(found):
         first = first.dropDuplicates(["d"])
-    near = _verified(_by_least(first), own, classes, shingle)
+    near = _verified(_by_fingerprint(first).unionAll(_by_least(first)), own, classes, shingle)
     roots = materialise(connected_components(near).withColumnRenamed("node", "d"), "roots")
     rooted = first.select("d", "n", "keys").join(small(roots), "d", "left").select("d", "n", F.coalesce("root", "d").alias("root"), F.posexplode("keys").alias("pos", "key"))
     # size and place go as one number, which keeps the largest shuffle's rows short

@@ -89,6 +89,22 @@ def test_large_group_of_loosely_near_copies(spark, monkeypatch):
     assert pairs[0] < 150 * 20
 
 
+def test_candidates_by_fingerprint(spark, monkeypatch):
+    """Long texts with one edit are linked by operator 1 alone: near fingerprints, then the check on shingles."""
+    rng, texts = random.Random(5), []
+    for _ in range(20):
+        base = prose(rng, 900)
+        texts += [" ".join(base), " ".join(edited(rng, base, 1))]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    near = {2 * i for i in range(20) if (prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= simhash.MAX_BITS}
+    assert len(near) > 5
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(jaccard, "_by_least", lambda first: none)
+    monkeypatch.setattr(jaccard, "_open_pairs", lambda keyed, block: none)
+    rows = jaccard.groups(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(i, i - i % 2 if i - i % 2 in near else i) for i in range(40)}
+
+
 def test_pairs_of_a_key_are_few(spark, monkeypatch):
     """A group of loosely near copies and many texts that share a passage with them and each other: few rows leave the join, although all pairs are decided."""
     rng, rows = random.Random(12), []
