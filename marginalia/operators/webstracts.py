@@ -13,6 +13,8 @@ KEYS = (
     "abstract", "archive_date", "bare_tex", "body", "cc_license_type", "csljson", "contributors", "copyright", "date", "edition",
     "issues", "license_p", "license_ref", "references", "references_abridged", "source", "title",
 )
+#: Columns of parsed articles that web abstracts are made of.
+PARSED = "valid title abstract body bare_tex copyright license_p license_ref cc_license_type authors refs issues"
 
 
 def contributors(authors: Column) -> Column:

@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task makes articles of, while tables are small; and the most tasks that larger ones are dealt out to.
+ROWS_OF_A_TASK, MOST_TASKS = 1_000, 2_000
+
+
+def spread(rows: DataFrame, *by: str, rows_of_an_article: int = 1) -> DataFrame:
+    """Rows dealt out to as many tasks as their number asks for, before articles are made of them. Spark cuts files by bytes and never within a row group, so a million short rows can be one task's, which then reads all their articles. by: the columns that name an article, if it has several rows; grouping by these needs no other shuffle."""
+    tasks = min(MOST_TASKS, -(-rows.count() // (ROWS_OF_A_TASK * rows_of_an_article)))
+    return rows.repartition(tasks, *by) if tasks > 1 else rows
+
+
 def element(tag: str, *content: Column | str, **attrs: Column | str) -> Column:
     """An element as a text column; texts given as plain strings are markup, columns too. `_` in names of attributes is `-`."""
     column = lambda x: F.lit(x) if isinstance(x, str) else x
@@ -45,7 +55,7 @@ def ref(rid: Column | str, *fields: Column | str) -> Column:
 
 def part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part is an article that cites one reference with many fields."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     key = F.col("p_partkey")
     name = element("name", element("surname", escaped(F.col("p_brand"))), element("given-names", F.lit("Ada "), F.substring("p_type", 1, 1)))
     fields = [
@@ -67,7 +77,7 @@ def part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_citations(spark: SparkSession, sf_dir: str, printed: Column | None = None) -> DataFrame:
     """An order is an article that cites its parts in the order of its lines; the list of references is sorted by part. Parts divisible by 7 are missing from the list. printed: what a citation shows, of l_linenumber."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", rows_of_an_article=4)
     shown = F.lit("") if printed is None else printed
     rid = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     rows = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", cite(rid, shown, " ").alias("text")).alias("line"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_partkey")).alias("part"))
@@ -79,7 +89,7 @@ def order_citations(spark: SparkSession, sf_dir: str, printed: Column | None = N
 
 def range_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is an article with as many references as o_orderkey % 9 + 2, cited as a range from the first to the last."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 9 + 2).cast("int").alias("n"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", (F.col("o_orderkey") % 9 + 2).cast("int").alias("n"))
     numbers = F.sequence(F.lit(1), F.col("n"))
     refs = F.array_join(F.transform(numbers, lambda i: ref(F.concat(F.lit("r"), i.cast("string")), element("source-title", i.cast("string")))), "")
     # the last is cited first, with its place, so that the list's order is kept
@@ -153,7 +163,7 @@ def odd_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 19 == 0, element("p", "x ", _formula("x", "<mml:semantics/>"))).otherwise(""),
     )
     front = element("front", F.when(key % 23 == 0, element("journal-meta", element("journal-id", "J"))), element("article-meta", element("title-group", element("article-title", "T"))))
-    return raw(table(spark, sf_dir, "events"), key, element("article", front, element("body", body)))
+    return raw(spread(table(spark, sf_dir, "events").select("event_id", "event_type")), key, element("article", front, element("body", body)))
 
 
 _MATHML = 'xmlns:mml="http://www.w3.org/1998/Math/MathML"'
@@ -184,7 +194,7 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('<a href="page/'), number, F.lit('">t</a>')),
         F.concat(F.lit('<xref rid="r'), number, F.lit('">t</xref>')),
     )
-    return raw(table(spark, sf_dir, "customer"), key, article(body=element("p", made, ".")))
+    return raw(spread(table(spark, sf_dir, "customer").select("c_custkey")), key, article(body=element("p", made, ".")))
 
 
 def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +212,7 @@ def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
         element("p", element("underline", name), "."),
         element("p", element("b", "a", element("xref", name, rid="q", ref_type="bibr"))),
     )
-    return raw(table(spark, sf_dir, "part"), key, article(body=body))
+    return raw(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), key, article(body=body))
 
 
 def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +226,7 @@ def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
         element("p", "a ", "<inline-formula><alternatives><tex-math>w</tex-math></alternatives></inline-formula>"),
         element("p", "plain"),
     )
-    return raw(table(spark, sf_dir, "orders"), key, article(body=body))
+    return raw(spread(table(spark, sf_dir, "orders").select("o_orderkey")), key, article(body=body))
 
 
 def fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +247,7 @@ def fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f'<front><article-meta>{group}{group}<permissions><license><license_ref content-type="odd">u</license_ref></license></permissions></article-meta></front>',
         "",
     )
-    return raw(table(spark, sf_dir, "part"), key, element("article", front, element("body", "<p>x</p>")))
+    return raw(spread(table(spark, sf_dir, "part").select("p_partkey")), key, element("article", front, element("body", "<p>x</p>")))
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +255,7 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     page, place = element("fpage", key.cast("string")), element("elocation-id", F.concat(F.lit("e"), key.cast("string")))
     fields = one_of(key, page, place, F.concat(page, place))
-    return raw(table(spark, sf_dir, "part"), key, article(body=element("p", cite("r1", "1")), refs=ref("r1", element("source", "S"), fields)))
+    return raw(spread(table(spark, sf_dir, "part").select("p_partkey")), key, article(body=element("p", cite("r1", "1")), refs=ref("r1", element("source", "S"), fields)))
 
 
 def files_of_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +276,7 @@ def tally_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     math = '<inline-formula><alternatives><tex-math>x</tex-math><mml:math xmlns:mml="http://www.w3.org/1998/Math/MathML" display="inline"><mml:mi>x</mml:mi></mml:math></alternatives></inline-formula>'
     plain_math = '<disp-formula><mml:math xmlns:mml="http://www.w3.org/1998/Math/MathML" display="block"><mml:mi>y</mml:mi></mml:math></disp-formula>'
     body = F.concat(element("p", F.when(key % 3 == 0, math).otherwise("text")), F.when(key % 8 == 0, plain_math).otherwise(""), element("sec", element("title", F.when(key % 4 == 0, "a <italic>b</italic> <bold>c</bold>").otherwise("plain"))))
-    return raw(table(spark, sf_dir, "orders"), key, article(body=body, refs=element("ref", fields, id="r1")))
+    return raw(spread(table(spark, sf_dir, "orders").select("o_orderkey")), key, article(body=body, refs=element("ref", fields, id="r1")))
 
 
 def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,4 +286,4 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("https://creativecommons.org/"), F.get(F.array(*map(F.lit, kinds)), (key % 10).cast("int")))
     statement = F.concat(F.lit("© "), (key % 30 + 1990).cast("string"), F.lit(" <bold>"), escaped(F.col("p_brand")), F.lit("</bold>"))
     meta = element("permissions", element("copyright-statement", statement), element("license", element("license_ref", url), element("license-p", escaped(F.col("p_name")))))
-    return raw(table(spark, sf_dir, "part"), key, article(meta=meta))
+    return raw(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")), key, article(meta=meta))

@@ -485,7 +485,7 @@ def article_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     front = corpora.element("front", F.when(key % 3 != 0, corpora.element("journal-meta", corpora.element("journal-id", F.concat(F.lit("J"), F.col("user_id").cast("string"))))).otherwise(""), corpora.element("article-meta"))
     typed = corpora.element("article", front, article_type=F.col("event_type"))
     content = F.when(key % 4 == 0, corpora.element("article", front)).otherwise(typed)
-    found = curation.article_facts(nodes.scan_xml(corpora.raw(table(spark, sf_dir, "events"), key, content)))
+    found = curation.article_facts(nodes.scan_xml(corpora.raw(corpora.spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")), key, content)))
     return found.select(_article_id(), "article_type", "journal_id")
 
 
@@ -625,7 +625,7 @@ SELECT p_partkey AS article_id, p_name AS title, p_brand AS surname, '10.5555/'
 """)
 def webstract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of web abstracts written as JSON."""
-    rows = webstracts.to_json(webstracts.webstracts(articles.articles(corpora.part_references(spark, sf_dir))))
+    rows = webstracts.to_json(webstracts.webstracts(articles.articles(corpora.part_references(spark, sf_dir), fields=webstracts.PARSED)))
     get = lambda path: F.get_json_object("webstract", path)
     return rows.select(_article_id(), get("$.title").alias("title"), get("$.csljson[0].author[0].family").alias("surname"), get("$.csljson[0].DOI").alias("doi"), get("$.bare_tex").cast("boolean").alias("bare_tex"))
 
@@ -664,7 +664,7 @@ SELECT p_partkey AS article_id, '<h1>' || p_name || '</h1>' AS heading, 2 AS n_s
 """)
 def html_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages: the heading, and the parts under a second one (text and references)."""
-    made = webstracts.page(webstracts.webstracts(articles.articles(corpora.part_references(spark, sf_dir))))
+    made = webstracts.page(webstracts.webstracts(articles.articles(corpora.part_references(spark, sf_dir), fields=webstracts.PARSED)))
     return made.select(_article_id(), F.regexp_extract("html", "(<h1>.*</h1>)", 1).alias("heading"), (F.regexp_count("html", F.lit("<p>")) + F.regexp_count("html", F.lit("<h2>"))).alias("n_sections"))
 
 
@@ -763,7 +763,7 @@ def citations_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web abstracts of parts, ten to a succession of editions."""
     key = F.col("p_partkey")
-    rows = webstracts.webstracts(articles.articles(corpora.licensed(spark, sf_dir)), html_refs=False)
+    rows = webstracts.webstracts(articles.articles(corpora.licensed(spark, sf_dir), fields=webstracts.PARSED), html_refs=False)
     editions = table(spark, sf_dir, "part").select(key.cast("string").alias("article_id"), F.concat(F.lit("d"), F.expr("p_partkey div 10").cast("string")).alias("base_dsi"), F.concat(F.lit("1."), (key % 12).cast("string")).alias("edid"), F.concat((key % 30 + 1990).cast("string"), F.lit("-02-03")).alias("date"))
     return webstracts.with_editions(rows, editions)
 
@@ -784,7 +784,7 @@ def html_page_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey % 8 >= 6 AS has_issues, count(*) AS n, count(*) FILTER (p_partkey % 8 >= 6) AS linked FROM part GROUP BY 1")
 def html_page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages link to their issues, if they have any."""
-    rows = webstracts.webstracts(articles.articles(corpora.marked_up(spark, sf_dir)), html_refs=False)
+    rows = webstracts.webstracts(articles.articles(corpora.marked_up(spark, sf_dir), fields=webstracts.PARSED), html_refs=False)
     made = webstracts.page(rows, link_issues=True).join(rows.select("article_id", webstracts.has_issues(F.col("issues")).alias("has_issues")), "article_id")
     return made.groupBy("has_issues").agg(F.count("*").alias("n"), F.count_if(F.contains("html", F.lit('href="issues/"'))).alias("linked"))
 
