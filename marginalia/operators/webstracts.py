@@ -130,8 +130,8 @@ def has_issues(issues: Column) -> Column:
     return F.coalesce(F.size(issues) > 0, F.lit(False))
 
 
-def page(rows: DataFrame, dsi_domain: str | None = None, banner: str | None = None, link_issues: bool = False) -> DataFrame:
-    """(article_id, html): a plain page of a web abstract.
+def page(rows: DataFrame, dsi_domain: str | None = None, banner: str | None = None, link_issues: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(article_id, html): a plain page of a web abstract. keep: further columns of the rows that stay.
 
     With a domain, an edition has its address at the top and how to cite it; without an edition the banner stands there.
     Then title, authors, edition and dates (and a notice, if a newer edition exists), abstract, body, references, copyright
@@ -175,7 +175,7 @@ def page(rows: DataFrame, dsi_domain: str | None = None, banner: str | None = No
         some(archived, '<p class="source">', "</p>\n"),
         F.lit("</article>\n</body>\n</html>\n"),
     ]
-    return rows.select("article_id", F.concat(*parts).alias("html"))
+    return rows.select("article_id", F.concat(*parts).alias("html"), *keep)
 
 
 def write_files(rows: DataFrame, path: str, text_col: str) -> None:

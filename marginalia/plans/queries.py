@@ -785,7 +785,7 @@ def html_page_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages link to their issues, if they have any."""
     rows = webstracts.webstracts(articles.articles(corpora.marked_up(spark, sf_dir), fields=webstracts.PARSED), html_refs=False)
-    made = webstracts.page(rows, link_issues=True).join(rows.select("article_id", webstracts.has_issues(F.col("issues")).alias("has_issues")), "article_id")
+    made = webstracts.page(rows, link_issues=True, keep=("issues",)).withColumn("has_issues", webstracts.has_issues(F.col("issues")))
     return made.groupBy("has_issues").agg(F.count("*").alias("n"), F.count_if(F.contains("html", F.lit('href="issues/"'))).alias("linked"))
 
 

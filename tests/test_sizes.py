@@ -31,7 +31,7 @@ def plan_of(rows) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
-DEALT_OUT = ["webstract_editions", "ref_csl_titles", "links_html", "csl_roundtrip", "elocation_pages"]
+DEALT_OUT = ["webstract_editions", "ref_csl_titles", "links_html", "csl_roundtrip", "elocation_pages", "html_page_issues"]
 
 
 @pytest.mark.parametrize("name", DEALT_OUT)
@@ -46,3 +46,7 @@ def test_rows_are_dealt_out_evenly_and_whole(spark, short_rows):
     sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(sizes) == 3 and sum(sizes) == 2500 and max(sizes) - min(sizes) <= 3
     assert rows.select("p_partkey").distinct().count() == 2500
+
+
+def test_pages_and_their_issues_come_from_one_parse(spark, short_rows):
+    assert plan_of(QUERIES["html_page_issues"](spark, short_rows)).count("MapInArrow") == 1
