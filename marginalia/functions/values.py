@@ -22,8 +22,10 @@ _ORCID = r"^[0-9]{15}[0-9X]$"
 
 def integer_of(text: str | None) -> int | None:
     """The integer that a text stands for, as Python reads it."""
+    if not text:
+        return None
     try:
-        return int(text or "")
+        return int(text)
     except ValueError:
         return None
 

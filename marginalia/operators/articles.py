@@ -60,18 +60,26 @@ def convert(content: bytes | None, wanted: frozenset[str] | None = None) -> dict
         sys.setrecursionlimit(limit)
 
 
+#: What needs neither the body nor the references, and what needs the references themselves, not only their ids.
+_OF_FRONT = frozenset(["article_id", "title", "authors", "copyright", "license_p", "license_ref", "cc_license_type"])
+_OF_REFERENCES = frozenset(["refs", "xml", "issues"])
+
+
 def _convert(content: bytes | None, wanted: frozenset[str] | None) -> dict:
-    article, issues = model.parse(tree.read(content or b""))
+    asks = lambda *names: wanted is None or not wanted.isdisjoint(names)
+    parts = "all" if asks(*_OF_REFERENCES) else "front" if wanted <= _OF_FRONT else "cited"
+    article, issues = model.parse(tree.scan(content or b""), parts, asks("issues"))
     row = {"valid": article is not None, "issues": [{"condition": list(i.condition), "sourceline": i.line, "info": i.info} for i in issues]}
     if article is None:
         return row
-    asks = lambda *names: wanted is None or not wanted.isdisjoint(names)
     row["authors"] = article.authors
     if asks(*_RENDERED):
         html = render.HtmlWriter()
-        row |= {"body": html.section(article.body), "bare_tex": html.bare_tex}
+        if asks("body", "bare_tex"):
+            row |= {"body": html.section(article.body), "bare_tex": html.bare_tex}
         row["title"] = " " if article.title is None else html.inner(article.title)
-        row["abstract"] = None if article.abstract is None else html.blocks(article.abstract)
+        if asks("abstract"):
+            row["abstract"] = None if article.abstract is None else html.blocks(article.abstract)
         if article.license is not None:
             row |= {"license_p": html.inner(article.license["license_p"]), "copyright": None if article.copyright is None else html.inner(article.copyright)}
     if article.license is not None:

@@ -211,3 +211,48 @@ def test_writer_keeps_unknown_namespaces():
 
 def test_empty_model():
     assert model.parse(tree.Source(error="e", error_line=3))[1][0].line == 3
+
+
+def flat(node) -> tuple:
+    return node.tag, dict(getattr(node, "attrs", None) or getattr(node, "attrib", {})), node.text, node.tail, [flat(c) for c in node]
+
+
+@pytest.mark.parametrize(
+    "content",
+    [
+        b"<a>x<!-- c -->y<b k='&lt;&#10;'/>z<?p i?>w<![CDATA[<q>]]></a>",
+        b"<?xml version='1.0' encoding='UTF-8'?>\n<!DOCTYPE a [<!ENTITY e 'v<b>w</b>'>]>\r\n<a xmlns='u' xml:lang='en'>&e;<!-- <!DOCTYPE x> --></a>",
+        b"<!DOCTYPE a SYSTEM 'x'><a>&unknown; x</a>",
+        "<?xml version='1.0' encoding='latin-1'?><a>\xe9</a>".encode("latin-1"),
+        "<?xml version='1.0' encoding='utf-16'?><a>\n<b/></a>".encode("utf-16"),
+        b"<a>\n<b></a>",
+        b"<?xml version='1.0' encoding='nope'?><a/>",
+    ],
+)
+def test_scan_finds_what_read_finds(content):
+    read, scan = tree.read(content), tree.scan(content)
+    assert (read.doctype, read.encoding.lower(), read.error, read.error_line) == (scan.doctype, scan.encoding.lower(), scan.error, scan.error_line)
+    assert read.root is None and scan.root is None or flat(read.root) == flat(scan.root)
+    assert read.root is None or [n.line for n in read.root.walk()] == tree.lines(content)
+
+
+def test_lines_and_parents_of_issues():
+    row = convert(b"<article>\n<front/>\n<body>\n<fig/>\n</body><back>\n<x/></back>\n</article>")
+    assert [(i["condition"], i["sourceline"]) for i in row["issues"]] == [
+        (["MissingChild", "article-meta", "front", "article"], 2),
+        (["UnsupportedElement", "fig", "body"], 4),
+        (["MissingContent", "article-title", "title-group"], None),
+        (["MissingContent", "article-body", "article"], None),
+        (["UnsupportedElement", "x", "back"], 6),
+    ]
+
+
+def test_only_what_is_asked_for_is_walked(monkeypatch):
+    """Licences need no body, the body no fields of references."""
+    content = f'{HEAD}<body><p>see <xref rid="a">1</xref></p></body><back><ref-list>{ref("a")}</ref-list></back></article>'.encode()
+    whole, walked = convert(content), []
+    section, citation = model.Walk.section, model.CITATION
+    monkeypatch.setattr(model.Walk, "section", lambda *a: walked.append("body") or section(*a))
+    monkeypatch.setattr(model, "CITATION", model.Rules(other=lambda n: walked.append("field")))
+    assert convert(content, frozenset(["title", "cc_license_type"]))["title"] == whole["title"] and walked == []
+    assert convert(content, frozenset(["body"]))["body"] == whole["body"] and walked == ["body"]
