@@ -30,6 +30,9 @@ ARTICLE = (
     f" license_ref string, cc_license_type string, authors array<{AUTHOR}>, refs array<{REFERENCE}>, xml string, issues array<{ISSUE}>"
 )
 
+#: Columns that are made only if they are named: ids of the cited references in the order of their numbers, and issues of citations. Both need no more of a reference than its id.
+OPTIONAL = f"cited array<string>, citation_issues array<{ISSUE}>"
+
 #: Years and editions beyond this don't fit the tables' integers; they are kept as null.
 _MOST = (1 << 31) - 1
 
@@ -63,15 +66,21 @@ def convert(content: bytes | None, wanted: frozenset[str] | None = None) -> dict
 #: What needs neither the body nor the references, and what needs the references themselves, not only their ids.
 _OF_FRONT = frozenset(["article_id", "title", "authors", "copyright", "license_p", "license_ref", "cc_license_type"])
 _OF_REFERENCES = frozenset(["refs", "xml", "issues"])
+_CITED = frozenset(["cited"])
 
 
 def _convert(content: bytes | None, wanted: frozenset[str] | None) -> dict:
     asks = lambda *names: wanted is None or not wanted.isdisjoint(names)
-    parts = "all" if asks(*_OF_REFERENCES) else "front" if wanted <= _OF_FRONT else "cited"
-    article, issues = model.parse(tree.scan(content or b""), parts, asks("issues"))
+    parts = "all" if asks(*_OF_REFERENCES) else "front" if wanted <= _OF_FRONT else "cited" if wanted == _CITED else "ids"
+    named = wanted is not None and "citation_issues" in wanted
+    article, issues = model.parse(tree.scan(content or b""), parts, asks("issues") or named)
     row = {"valid": article is not None, "issues": [{"condition": list(i.condition), "sourceline": i.line, "info": i.info} for i in issues]}
+    if named:
+        row["citation_issues"] = [i for i in row["issues"] if i["condition"][0] == "InvalidCitation"]
     if article is None:
         return row
+    if wanted is not None and "cited" in wanted:
+        row["cited"] = None if article.refs is None else [r["id"] for r in article.refs]
     row["authors"] = article.authors
     if asks(*_RENDERED):
         html = render.HtmlWriter()
@@ -110,13 +119,13 @@ def articles(raw: DataFrame, id_col: str = "article_id", content_col: str = "con
     if fields is None:
         return _map(raw, id_col, content_col, ARTICLE, convert)
     wanted = frozenset(fields.split())
-    kinds = dict(_columns())
+    kinds = dict(_columns() + _columns(OPTIONAL))
     schema = ", ".join(["article_id string", *(f"{c} {kinds[c]}" for c in fields.split())])
     return _map(raw, id_col, content_col, schema, lambda x: convert(x, wanted))
 
 
-def _columns() -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(ARTICLE).fields]
+def _columns(schema: str = ARTICLE) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in T._parse_datatype_string(schema).fields]
 
 
 def restyled_twice(raw: DataFrame, id_col: str = "article_id", content_col: str = "content") -> DataFrame:
@@ -129,9 +138,9 @@ def restyled_twice(raw: DataFrame, id_col: str = "article_id", content_col: str
     return _map(raw, id_col, content_col, "article_id string, xml string, same boolean", make)
 
 
-def issues(parsed: DataFrame) -> DataFrame:
-    """(article_id, pos, condition, sourceline, info): one row per issue, in the articles' order."""
-    rows = parsed.select("article_id", F.posexplode("issues").alias("pos", "issue"))
+def issues(parsed: DataFrame, column: str = "issues") -> DataFrame:
+    """(article_id, pos, condition, sourceline, info): one row per issue, in the articles' order. column: the issues to take."""
+    rows = parsed.select("article_id", F.posexplode(column).alias("pos", "issue"))
     return rows.select("article_id", "pos", "issue.condition", "issue.sourceline", "issue.info")
 
 
@@ -151,6 +160,11 @@ def references(parsed: DataFrame) -> DataFrame:
     return parsed.select("article_id", F.posexplode("refs").alias("zidx", "ref")).select("article_id", "zidx", "ref.*")
 
 
+def cited(parsed: DataFrame) -> DataFrame:
+    """(article_id, zidx, id): the ids of the cited references, in the order of their numbers, of articles with the column `cited`."""
+    return parsed.select("article_id", F.posexplode("cited").alias("zidx", "id"))
+
+
 def html_issues(issues_col: Column) -> Column:
     """The issues of an article as an HTML list."""
     from marginalia.functions.values import escaped

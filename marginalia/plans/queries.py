@@ -112,7 +112,7 @@ FROM (SELECT l_orderkey, l_partkey, min(l_linenumber * 10000000 + l_partkey) AS
 @query(_NUMBERED)
 def cite_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of parsed articles in the order of first citation; those that aren't cited are gone."""
-    refs = articles.references(articles.articles(corpora.order_citations(spark, sf_dir), fields="refs"))
+    refs = articles.cited(articles.articles(corpora.order_citations(spark, sf_dir), fields="cited"))
     return refs.select(_article_id(), (F.col("zidx") + 1).cast("int").alias("rord"), "id")
 
 

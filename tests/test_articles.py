@@ -256,3 +256,11 @@ def test_only_what_is_asked_for_is_walked(monkeypatch):
     monkeypatch.setattr(model, "CITATION", model.Rules(other=lambda n: walked.append("field")))
     assert convert(content, frozenset(["title", "cc_license_type"]))["title"] == whole["title"] and walked == []
     assert convert(content, frozenset(["body"]))["body"] == whole["body"] and walked == ["body"]
+
+
+def test_cited_ids_are_those_of_the_references():
+    cite = lambda rid: f'<xref rid="{rid}" ref-type="bibr"/>'
+    head = HEAD.replace("</article-meta>", f"<abstract><p>{cite('c')}</p></abstract></article-meta>")
+    content = f"{head}<body><title>t</title><p>{cite('b')}{cite('x')}{cite('c')}</p></body><back><ref-list>{ref('a')}<note/>{ref('b')}{ref('c')}</ref-list></back></article>".encode()
+    assert convert(content, frozenset(["cited"]))["cited"] == numbers(convert(content)) == ["c", "b"]
+    assert convert(b"<article><body/></article>", frozenset(["cited"]))["cited"] is None
