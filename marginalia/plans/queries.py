@@ -162,9 +162,8 @@ FROM (SELECT o_orderkey, o_orderkey % 9 + 2 AS n FROM orders), LATERAL (SELECT u
 def cite_range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of the normal form: a dash between two stands for those between."""
     parsed = articles.articles(corpora.range_articles(spark, sf_dir), fields="xml").select("article_id", F.col("xml").alias("content"))
-    found = nodes.scan_xml(parsed, columns="article_id pre tag attrs text").where("tag = 'xref'")
-    order = F.row_number().over(Window.partitionBy("article_id").orderBy("pre")) - 1
-    return found.select(_article_id(), order.cast("int").alias("ord"), F.col("attrs")["rid"].alias("rid"), F.col("text").alias("shown"))
+    found = nodes.scan_xml(parsed, columns="article_id nth attrs text", tags=("xref",))
+    return found.select(_article_id(), F.col("nth").alias("ord"), F.col("attrs")["rid"].alias("rid"), F.col("text").alias("shown"))
 
 
 @query("""

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marginalia.functions.tree import Node, read
+from marginalia.functions.tree import Element, Node, lines, scan
 
 NODES = (
     "article_id string, pre int, post int, parent int, ord int, depth int, tag string, attrs map<string,string>, text string, tail string,"
     " path array<string>, line int, n_children int, parent_attrs map<string,string>"
 )
+#: A column that is made only if it is named: the place among the article's rows.
+OPTIONAL = "nth int"
 #: Levels of a document down to which elements know their path.
 LONGEST_PATH = 1000
 #: Elements of HTML without an end, and those that end where another of the list begins.
@@ -87,29 +89,98 @@ def rows(article_id: str, root: Node) -> Iterator[dict]:
     return iter(out)
 
 
-def _scan(raw: DataFrame, id_col: str, content: F.Column, html: bool, columns: str | None) -> DataFrame:
-    kinds = dict(x.strip().split(" ", 1) for x in NODES.split(", "))
+def _add(out: dict[str, list], article_id: str, content: bytes, root: Element, tags: frozenset[str] | None) -> None:
+    """Adds a document's elements, or those with the tags, to columns. Only columns that are there are made."""
+    asked = [(column, out[column].append) for column in out if column not in ("post", "line")]
+    post, line = out.get("post"), lines(content) if "line" in out else ()
+    with_path, pre, kept = "path" in out, 0, 0
+    todo: list[tuple] = [(root, None, None, 0, 0, [])]
+    while todo:
+        node, up, parent, order, depth, above = todo.pop()
+        if node is None:  # an element has ended: parent is its row
+            post[parent] = pre - 1
+            continue
+        path = above
+        if with_path:
+            path = None if above is None or depth >= LONGEST_PATH else [*above, node.tag]
+        below = node[:]
+        if tags is None or node.tag in tags:
+            for column, put in asked:
+                if column == "article_id":
+                    put(article_id)
+                elif column == "tag":
+                    put(node.tag)
+                elif column == "attrs":
+                    put(node.items())
+                elif column == "path":
+                    put(path)
+                elif column == "text":
+                    put(node.text)
+                elif column == "tail":
+                    put(node.tail)
+                elif column == "pre":
+                    put(pre)
+                elif column == "parent":
+                    put(parent)
+                elif column == "ord":
+                    put(order)
+                elif column == "depth":
+                    put(depth)
+                elif column == "n_children":
+                    put(len(below))
+                elif column == "parent_attrs":
+                    put(None if up is None else up.items())
+                else:
+                    put(kept)
+            if line:
+                out["line"].append(line[pre])
+            if post is not None:
+                todo.append((None, None, len(post), 0, 0, None))
+                post.append(pre)
+            kept += 1
+        depth += 1
+        for i in range(len(below) - 1, -1, -1):
+            todo.append((below[i], node, pre, i, depth, path))
+        pre += 1
+
+
+def _scan(raw: DataFrame, id_col: str, content: F.Column, html: bool, columns: str | None, tags: frozenset[str] | None = None) -> DataFrame:
+    kinds = dict(x.strip().split(" ", 1) for x in [*NODES.split(", "), OPTIONAL])
     schema = NODES if columns is None else ", ".join(f"{c} {kinds[c]}" for c in columns.split())
     arrow = to_arrow_schema(T._parse_datatype_string(schema), prefers_large_types=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[dict] = []
             for i, x in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                root = read_html((x or b"").decode(errors="replace")) if html else read(x or b"").root
-                if root is not None:
-                    found += rows(i, root)
+                found += rows(i, read_html((x or b"").decode(errors="replace")))
                 if len(found) > 20_000:
                     yield pa.RecordBatch.from_pylist(found, arrow)
                     found = []
             yield pa.RecordBatch.from_pylist(found, arrow)
 
+    def made(found: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in arrow], schema=arrow)
+
+    def run_xml(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list] = {name: [] for name in arrow.names}
+            for i, x in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                root = scan(x or b"").root
+                if root is not None:
+                    _add(found, i, x, root, tags)
+                if len(found[arrow.names[0]]) > 20_000:
+                    yield made(found)
+                    found = {name: [] for name in arrow.names}
+            yield made(found)
+
+    run = run_html if html else run_xml
     return raw.select(F.col(id_col).cast("string").alias("id"), content.cast("binary").alias("content")).mapInArrow(run, schema)
 
 
-def scan_xml(raw: DataFrame, id_col: str = "article_id", content_col: str = "content", columns: str | None = None) -> DataFrame:
-    """Elements of well-formed documents; others have none (the article operator reports them). columns: names of the columns to make, all by default."""
-    return _scan(raw, id_col, F.col(content_col), False, columns)
+def scan_xml(raw: DataFrame, id_col: str = "article_id", content_col: str = "content", columns: str | None = None, tags: tuple[str, ...] | None = None) -> DataFrame:
+    """Elements of well-formed documents; others have none (the article operator reports them). columns: names of the columns to make, all of NODES by default. tags: those of the elements to return, all by default; their numbers are those of the whole document, and `nth` counts what is returned."""
+    return _scan(raw, id_col, F.col(content_col), False, columns, None if tags is None else frozenset(tags))
 
 
 def scan_html(raw: DataFrame, id_col: str = "page_id", content_col: str = "html", columns: str | None = None) -> DataFrame:

@@ -233,3 +233,11 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / i / "article.xml").write_bytes(bytes(article_row(i)[1]))
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["T a", "T b"]
+
+
+def test_scan_of_some_tags(spark):
+    raw = spark.createDataFrame([article_row("1", "<p>a<b>x</b></p><p/>"), article_row("2", "<p/>")], "article_id string, content binary")
+    whole = sorted((r.article_id, r.pre, r.post, r.path) for r in nodes.scan_xml(raw).where("tag = 'p'").collect())
+    some = nodes.scan_xml(raw, columns="article_id nth pre post path", tags=("p",)).collect()
+    assert sorted((r.article_id, r.pre, r.post, r.path) for r in some) == whole
+    assert sorted((r.article_id, r.nth) for r in some) == [("1", 0), ("1", 1), ("2", 0)]
