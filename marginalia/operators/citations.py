@@ -30,6 +30,14 @@ def dangling(citations: DataFrame, refs: DataFrame) -> DataFrame:
     return citations.join(refs.select("article_id", F.col("id").alias("rid")), ["article_id", "rid"], "left_anti")
 
 
+def dangling_of(nodes: DataFrame) -> DataFrame:
+    """(article_id, rid, pos, printed, tail): marked citations without a reference in their article, of scanned `ref` and `xref` elements. The anti join of the elements with themselves, by a window: the documents are read once, and each element is sent once."""
+    attr, is_ref = F.col("attrs"), F.col("tag") == "ref"
+    keyed = nodes.select("article_id", F.when(is_ref, attr["id"]).otherwise(attr["rid"]).alias("rid"), is_ref.alias("_ref"), (~is_ref & (attr["ref-type"] == "bibr")).alias("_cites"), F.col("pre").alias("pos"), F.expr("try_cast(trim(text) AS INT)").alias("printed"), F.trim("tail").alias("tail"))
+    known = F.max(F.col("_ref") & F.col("rid").isNotNull() & F.col("article_id").isNotNull()).over(Window.partitionBy("article_id", "rid"))
+    return keyed.where("_ref OR _cites").withColumn("_known", known).where("_cites AND NOT _known").drop("_ref", "_cites", "_known")
+
+
 def number(citations: DataFrame, refs: DataFrame) -> DataFrame:
     """(article_id, zidx, id, rord): references with their numbers; those without one are left out.
 

@@ -181,7 +181,7 @@ def cite_ranges_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS article_id, count(*) AS n FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY ALL")
 def dangling_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations without a reference, as issues of parsed articles."""
-    found = articles.issues(articles.articles(corpora.order_citations(spark, sf_dir), fields="issues")).where(F.get("condition", F.lit(0)) == "InvalidCitation")
+    found = articles.issues(articles.articles(corpora.order_citations(spark, sf_dir), fields="citation_issues"), "citation_issues")
     return found.groupBy(_article_id()).agg(F.count("*").alias("n"))
 
 

@@ -264,3 +264,9 @@ def test_cited_ids_are_those_of_the_references():
     content = f"{head}<body><title>t</title><p>{cite('b')}{cite('x')}{cite('c')}</p></body><back><ref-list>{ref('a')}<note/>{ref('b')}{ref('c')}</ref-list></back></article>".encode()
     assert convert(content, frozenset(["cited"]))["cited"] == numbers(convert(content)) == ["c", "b"]
     assert convert(b"<article><body/></article>", frozenset(["cited"]))["cited"] is None
+
+
+def test_issues_of_citations_alone():
+    content = f'{HEAD}<body><p><sc>a</sc>\n<xref rid="x" ref-type="bibr"/></p></body><back><ref-list>{ref("a")}<y/></ref-list></back></article>'.encode()
+    found = convert(content, frozenset(["citation_issues"]))["citation_issues"]
+    assert found == [i for i in convert(content)["issues"] if i["condition"][0] == "InvalidCitation"] and found[0]["sourceline"] == 2
