@@ -187,10 +187,9 @@ def dangling_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS article_id, 'p' || l_partkey AS rid FROM lineitem WHERE l_partkey % 7 = 0")
 def dangling_by_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same citations by scanned elements and an anti join."""
-    scanned = nodes.scan_xml(corpora.order_citations(spark, sf_dir))
-    refs = scanned.where("tag = 'ref'").select("article_id", F.col("ord").alias("zidx"), F.col("attrs")["id"].alias("id"))
-    return citations.dangling(citations.xrefs(scanned, refs).where("is_citation"), refs).select(_article_id(), "rid")
+    """The same citations by scanned elements and an anti join of them."""
+    scanned = nodes.scan_xml(corpora.order_citations(spark, sf_dir), columns="article_id pre tag attrs text tail", tags=("ref", "xref"))
+    return citations.dangling_of(scanned).select(_article_id(), "rid")
 
 
 # ---- values

@@ -31,7 +31,7 @@ def plan_of(rows) -> str:
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
-DEALT_OUT = ["dangling_citations", "cite_range_expand", "cite_numbering", "restyle_idempotent", "webstract_editions", "ref_csl_titles", "links_html", "csl_roundtrip", "elocation_pages", "html_page_issues", "link_issues", "license_type", "markup_html", "bibliography_full", "webstract_json", "html_page"]
+DEALT_OUT = ["dangling_by_anti_join", "dangling_citations", "cite_range_expand", "cite_numbering", "restyle_idempotent", "webstract_editions", "ref_csl_titles", "links_html", "csl_roundtrip", "elocation_pages", "html_page_issues", "link_issues", "license_type", "markup_html", "bibliography_full", "webstract_json", "html_page"]
 
 
 @pytest.mark.parametrize("name", DEALT_OUT)
@@ -50,3 +50,7 @@ def test_rows_are_dealt_out_evenly_and_whole(spark, short_rows):
 
 def test_pages_and_their_issues_come_from_one_parse(spark, short_rows):
     assert plan_of(QUERIES["html_page_issues"](spark, short_rows)).count("MapInArrow") == 1
+
+
+def test_anti_join_reads_documents_once(spark, short_rows):
+    assert plan_of(QUERIES["dangling_by_anti_join"](spark, short_rows)).count("MapInArrow") == 1

@@ -241,3 +241,14 @@ def test_scan_of_some_tags(spark):
     some = nodes.scan_xml(raw, columns="article_id nth pre post path", tags=("p",)).collect()
     assert sorted((r.article_id, r.pre, r.post, r.path) for r in some) == whole
     assert sorted((r.article_id, r.nth) for r in some) == [("1", 0), ("1", 1), ("2", 0)]
+
+
+def test_dangling_citations_by_either_way(spark):
+    body = '<p><xref rid="a" ref-type="bibr">1</xref><xref rid="x" ref-type="bibr"/>; <xref rid="x" ref-type="bibr"/><xref rid="b"/><xref rid="y"/><xref ref-type="bibr"/></p>'
+    back = '<back><ref-list><ref id="a"/><ref id="b"/><ref/></ref-list></back>'
+    raw = spark.createDataFrame([article_row("1", body, back), article_row("2", body), (None, article_row("3", body, back)[1])], "article_id string, content binary")
+    scanned = nodes.scan_xml(raw)
+    refs = scanned.where("tag = 'ref'").select("article_id", F.col("ord").alias("zidx"), F.col("attrs")["id"].alias("id"))
+    rows = lambda df: sorted(map(str, df.select("article_id", "rid", "pos", "printed", "tail").collect()))
+    joined = citations.dangling(citations.xrefs(scanned, refs).where("is_citation"), refs)
+    assert rows(citations.dangling_of(scanned.where("tag IN ('ref', 'xref')"))) == rows(joined)
