@@ -139,7 +139,7 @@ SELECT l_orderkey, 'p' || l_partkey, (k + 1 + row_number() OVER (PARTITION BY l_
 @query(_KEPT_ORDER)
 def cite_order_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of parsed articles whose citations print the number of their line: the list's order is kept while that fits."""
-    refs = articles.references(articles.articles(corpora.order_citations(spark, sf_dir, F.col("l_linenumber").cast("string")), fields="refs"))
+    refs = articles.cited(articles.articles(corpora.order_citations(spark, sf_dir, F.col("l_linenumber").cast("string")), fields="cited"))
     return refs.select(_article_id(), "id", (F.col("zidx") + 1).cast("int").alias("rord"))
 
 
