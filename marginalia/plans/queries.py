@@ -546,12 +546,12 @@ def tally_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'pmid' ELSE 'doi' END AS pub_id_type, count(*) AS n FROM orders GROUP BY 1")
 def tally_pub_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.pub_id_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
+    return tallies.pub_id_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns="attrs path", tags=("pub-id",)))
 
 
 @query("SELECT (['book', 'journal', 'webpage', 'thesis'])[o_orderkey % 4 + 1] AS publication_type, count(*) AS n FROM orders GROUP BY 1")
 def tally_publication_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.publication_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns=tallies.COLUMNS))
+    return tallies.publication_types(nodes.scan_xml(corpora.tally_articles(spark, sf_dir), columns="attrs path", tags=("element-citation",)))
 
 
 @query("""
